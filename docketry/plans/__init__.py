@@ -6,7 +6,7 @@ import importlib
 
 from docketry.plans.registry import ORACLES, QUERIES
 
-MODULES = ("evaluate", "text")
+MODULES = ("files", "text", "represent", "rank", "training", "evaluate")
 
 
 def _load() -> None:
