@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docketry.functions.measures import f1, ratio
 from docketry.operators.ranking import SINGLE_TASK_ROWS, running_sums, top_ranked
+from docketry.session import materialise
 
 # The cuts of the usual retrieval evaluation.
 CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
@@ -71,14 +72,17 @@ def f1_at_k(
 
 
 def evaluate_methods(runs: dict[str, DataFrame], cuts: Sequence[int] = CUTS) -> DataFrame:
-    """(method, measure, value) for the runs of several representations or rankers, in one pass."""
+    """(method, measure, value) for the runs of several representations or rankers.
+
+    The runs are scored once and written (ids and scores only), as the metrics read them several times.
+    """
     if not runs:
         raise ValueError("no runs given")
     tagged = None
     for method, run in runs.items():
         part = run.select(F.lit(method).alias("method"), "case_id", "candidate_id", "score", "rel")
         tagged = part if tagged is None else tagged.unionByName(part)
-    means = f1_at_k(tagged, cuts, by=("method",))
+    means = f1_at_k(materialise(tagged), cuts, by=("method",))
     pairs = F.explode(
         F.array(
             *[

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.operators import cascade, curves, metrics, ranking, sweeps
+from docketry.operators.score import cosine_rank
 from docketry.plans import views
 from docketry.plans.registry import query
 from docketry.plans.views import EMB_PAIRS, ORDER_RUN
-from docketry.operators.score import cosine_rank
+from docketry.session import materialise
 
 RPF = ("r", "p", "f1")
 # r, p and f1 from the columns found, returned and rels of a subquery
@@ -90,7 +91,7 @@ def precision_recall_at_k(spark, sf_dir):
 )
 def f1_at_k(spark, sf_dir):
     """Flagship: vector pairs -> cosine -> rank -> mean precision, recall and F1 at k."""
-    return metrics.f1_at_k(emb_run(spark, sf_dir))
+    return metrics.f1_at_k(materialise(emb_run(spark, sf_dir)))
 
 
 def pooled_sweep(score: str, low: int, high: int, steps: int, rows: str = "order_run") -> str:

@@ -51,3 +51,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a reliable checkpoint, so that later stages read one fixed result."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Redistribute a table that arrives in fewer partitions than there are cores (one small file, one row
+    group) before work that is heavy on the processor. Larger tables are returned as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
