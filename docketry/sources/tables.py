@@ -36,7 +36,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
     )
     types = dict(part.split() for part in PAIRS.split(", "))
-    return raw.select(*[F.col(n).cast(types[n]).alias(n) for n in names])
+    typed = raw.select(*[F.col(n).cast(types[n]).alias(n) for n in names])
+    return typed.na.fill("", ["case_text", "candidate_text"])  # the reader turns empty texts into NULL
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +51,7 @@ def read_case_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A headerless CSV with one text column."""
-    return _csv(spark, "text STRING", header=False).csv(path)
+    return _csv(spark, "text STRING", header=False).csv(path).na.fill("")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
