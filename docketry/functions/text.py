@@ -61,8 +61,12 @@ def bm25_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"[\p{L}_]{3,}"), F.lit(0))
 
 
+def letter_words(text: Column) -> Column:
+    """The lower-cased letters of a text, words separated by one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), NON_LETTERS, " "))
+
+
 def letter_trigrams(text: Column) -> Column:
-    """All overlapping letter trigrams of a text, words separated by one blank."""
-    letters = F.trim(F.regexp_replace(F.lower(text), NON_LETTERS, " "))
-    padded = F.concat(F.lit(" "), letters, F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?=(.{3}))"), F.lit(1))
+    """All overlapping trigrams of the words of a text, each word with a blank before and after it."""
+    padded = F.concat(F.lit(" "), letter_words(text), F.lit(" "))
+    return F.regexp_extract_all(padded, F.lit("(?=(.[^ ].))"), F.lit(1))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketry.functions.measures import f1, ratio
-from docketry.operators.ranking import SINGLE_TASK_ROWS, running_sums, top_ranked
+from docketry.operators.ranking import SINGLE_TASK_ROWS, first_rows, running_sums, top_ranked
 from docketry.session import materialise
 
 # The cuts of the usual retrieval evaluation.
@@ -98,8 +98,8 @@ def ndcg_at_k(run: DataFrame, cuts: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
     """(k, ndcg): gain 2^rel - 1, discount 1 / log2(1 + rank), mean over the cases whose ideal is not 0."""
     limit = max(cuts)
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1)
-    best_first = Window.partitionBy("case_id").orderBy(F.col("rel").desc(), "candidate_id")
-    ideal_rows = run.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= limit)
+    best_first = [F.col("rel").desc(), F.col("candidate_id")]
+    ideal_rows = first_rows(run, ["case_id"], best_first, limit)
 
     def sums(rows, name):
         return rows.groupBy("case_id").agg(

@@ -1,6 +1,6 @@
 """Ranks and running sums that hold up when one case owns a large share of all rows.
 
-``top_ranked`` keeps a window with a rank limit, which Spark applies before the shuffle, so a task never
+``first_rows`` keeps a window with a rank limit, which Spark applies before the shuffle, so a task never
 receives more than the limit per case and map task. Full ranks go through ``running_sums``: while the
 largest group is small it is one window; beyond that rows are range-partitioned by group *and* order, so
 a group spreads over many tasks, and the sums of the preceding ranges are added back.
@@ -88,12 +88,25 @@ def rank_positions(
     return row_numbers(run, list(keys), run_order(score, tie), "rank", single_task_rows)
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], limit: int, name: str = "rank") -> DataFrame:
+    """The first ``limit`` rows of each group, numbered.
+
+    Up to the optimizer's threshold the limit is applied before the shuffle; a longer list is numbered in
+    the way that spreads large groups.
+    """
+    pushed = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if limit <= pushed:
+        numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        numbered = row_numbers(df, keys, order, name)
+    return numbered.filter(F.col(name) <= limit)
+
+
 def top_ranked(
     run: DataFrame, limit: int, score: str = "score", tie: str = "candidate", keys: tuple[str, ...] = ("case_id",)
 ) -> DataFrame:
     """The best ``limit`` candidates of each case with their ``rank``."""
-    window = Window.partitionBy(*keys).orderBy(*run_order(score, tie))
-    return run.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
+    return first_rows(run, list(keys), run_order(score, tie), limit)
 
 
 def average_rank(
@@ -112,9 +125,8 @@ def average_rank(
     ties = scored.groupBy("case_id", score).agg(F.count("*").alias("_n"))
     best_first = [F.col(score).desc()]
     if limit is not None:
-        place = Window.partitionBy("case_id").orderBy(*best_first)
-        ties = ties.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= limit)
-        frame = place.rowsBetween(Window.unboundedPreceding, 0)
+        ties = first_rows(ties, ["case_id"], best_first, limit, "_place")
+        frame = Window.partitionBy("case_id").orderBy(*best_first).rowsBetween(Window.unboundedPreceding, 0)
         ties = ties.withColumn("_upto", F.sum("_n").over(frame))
     else:
         ties = running_sums(ties, ["case_id"], best_first, {"_upto": F.col("_n")}, single_task_rows)

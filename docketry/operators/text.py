@@ -11,6 +11,7 @@ from docketry.functions.text import (
     MIN_SENTENCE_WORDS,
     clean_whitespace,
     letter_trigrams,
+    letter_words,
     long_sentences,
     split_sentences,
     term_tokens,
@@ -53,10 +54,13 @@ def train_language_profiles(labelled: DataFrame, languages: Sequence[str]) -> Da
     ``labelled`` holds (text, lang). The alphabet of ``letter_trigrams`` is fixed, so the table has at
     most 61 ** 3 rows and may be broadcast.
     """
-    grams = labelled.select("lang", F.explode(letter_trigrams(F.col("text"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(
+    # words are counted first, so trigrams are taken once per different word
+    words = labelled.select("lang", F.explode(F.split(letter_words(F.col("text")), " ")).alias("word"))
+    by_word = words.groupBy("word").agg(
         *[F.count(F.when(F.col("lang") == name, 1)).alias(f"n_{name}") for name in languages]
     )
+    grams = by_word.withColumn("gram", F.explode(letter_trigrams(F.col("word"))))
+    counts = grams.groupBy("gram").agg(*[F.sum(f"n_{name}").alias(f"n_{name}") for name in languages])
     counts = materialise(counts)  # a bounded table, read once per total below
     sizes = counts.agg(
         F.count("*").alias("grams"), *[F.sum(f"n_{name}").alias(f"total_{name}") for name in languages]
@@ -158,46 +162,35 @@ def sentence_scores(kept: DataFrame, iterations: int = 10, damping: float = 0.85
     and no sentence pairs are built. All windows start with ``doc_id``: after one shuffle every round
     runs inside the same tasks.
     """
-    words = kept.repartition("doc_id").select(
-        "doc_id", F.posexplode("sentences").alias("pos", "sentence")
-    ).select("doc_id", "pos", F.explode_outer(term_tokens(F.col("sentence"))).alias("term"))
     by_doc = Window.partitionBy("doc_id")
     by_term = Window.partitionBy("doc_id", "term")
     by_sentence = Window.partitionBy("doc_id", "pos")
 
-    entries = words.groupBy("doc_id", "pos", "term").agg(F.count("term").alias("tf"))
-    entries = entries.withColumns(
-        {
-            "length": F.sum("tf").over(by_sentence),
-            # rows of one sentence share its 1, so the sum over the document counts sentences
-            "share": F.lit(1.0) / F.count("*").over(by_sentence),
-            "df": F.sum(F.when(F.col("term").isNotNull(), 1)).over(by_term),
-        }
-    )
-    entries = entries.withColumns(
-        {
-            "n": F.round(F.sum("share").over(by_doc)),
-            "tokens": F.sum("tf").over(by_doc),
-            "raw_idf": F.log(F.round(F.sum("share").over(by_doc)) - F.col("df") + 0.5)
-            - F.log(F.col("df") + 0.5),
-        }
-    )
+    tokens = kept.repartition("doc_id").select("doc_id", F.transform("sentences", term_tokens).alias("tokens"))
+    words = tokens.select(
+        "doc_id",
+        F.try_divide(F.size(F.flatten("tokens")), F.size("tokens")).alias("average_length"),
+        F.size("tokens").alias("n"),
+        F.posexplode("tokens").alias("pos", "words"),
+    ).select("doc_id", "average_length", "n", "pos", F.size("words").alias("length"), F.explode_outer("words").alias("term"))
+    entries = words.groupBy("doc_id", "average_length", "n", "pos", "length", "term").agg(F.count("term").alias("tf"))
+
+    df = F.sum(F.when(F.col("term").isNotNull(), 1)).over(by_term)
+    entries = entries.withColumn("df", df)
+    entries = entries.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     entries = entries.withColumn(
         # the mean over distinct words weighs each of a word's df rows by 1 / df
         "mean_idf",
         F.sum(F.col("raw_idf") / F.col("df")).over(by_doc) / F.sum(F.lit(1.0) / F.col("df")).over(by_doc),
     )
     floor = F.when(F.col("raw_idf") < 0, F.lit(0.25) * F.col("mean_idf")).otherwise(F.col("raw_idf"))
-    average_length = F.try_divide("tokens", "n")
+    relative_length = F.try_divide("length", "average_length")
     entries = entries.select(
         "doc_id",
         "pos",
         "term",
         (F.col("tf") * F.greatest(floor, F.lit(0.0))).alias("asks"),
-        (
-            F.col("tf") * F.lit(2.5)
-            / (F.col("tf") + F.lit(1.5) * (F.lit(0.25) + F.lit(0.75) * F.try_divide("length", average_length)))
-        ).alias("gives"),
+        (F.col("tf") * 2.5 / (F.col("tf") + F.lit(1.5) * (F.lit(0.25) + F.lit(0.75) * relative_length))).alias("gives"),
     )
     entries = entries.withColumn("offered", F.sum("gives").over(by_term) - F.col("gives"))
     entries = entries.withColumn("outgoing", F.sum(F.col("asks") * F.col("offered")).over(by_sentence))

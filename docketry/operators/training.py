@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.operators.ranking import SINGLE_TASK_ROWS, row_numbers
+from docketry.operators.ranking import SINGLE_TASK_ROWS, first_rows, row_numbers
 from docketry.session import materialise
 
 PADDING_LABEL = -1.0
@@ -189,10 +189,9 @@ def ltr_lists(rows: DataFrame, list_size: int, num_features: int, vector: str =
     """One row per query: ``labels`` and ``features`` of its first ``list_size`` candidates by id, short
     lists filled with label -1 and zero features.
 
-    The window limit applies before candidates are collected, so an array has at most ``list_size`` parts.
+    The limit applies before candidates are collected, so an array has at most ``list_size`` parts.
     """
-    first = Window.partitionBy("case_id").orderBy("candidate_id")
-    kept = rows.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= list_size)
+    kept = first_rows(rows, ["case_id"], [F.col("candidate_id")], list_size, "_place")
     part = F.struct("_place", F.col(label).cast("double").alias("label"), F.col(vector).alias("features"))
     lists = kept.groupBy("case_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     missing = F.lit(list_size) - F.size("parts")

@@ -37,8 +37,9 @@ numbered AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 
 def _gram_rows(source: str, column: str, keys: str) -> str:
     chars = f"string_split(' ' || trim(regexp_replace(lower({column}), '{NON_LETTERS}', ' ', 'g')) || ' ', '')"
-    return f"""(SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
-      FROM (SELECT {keys}, {chars} AS c FROM {source}))"""
+    return f"""(SELECT {keys}, c[i] || c[i + 1] || c[i + 2] AS gram
+      FROM (SELECT {keys}, c, unnest(range(1, len(c) - 1)) AS i FROM (SELECT {keys}, {chars} AS c FROM {source}))
+      WHERE c[i + 1] <> ' ')"""
 
 
 LANGUAGE = f"""

@@ -82,3 +82,14 @@ def test_tie_rules(spark):
     assert first("trec") == 9  # "9" > "10" as strings
     with pytest.raises(ValueError):
         ranking.rank_positions(run, tie="coin")
+
+
+def test_limits_beyond_the_threshold_are_numbered_in_full(spark):
+    run = skewed_run(spark)
+    short = rows(ranking.top_ranked(run, 30))
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+        assert rows(ranking.top_ranked(run, 30)) == short
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
