@@ -109,7 +109,7 @@ def order_run(spark, sf_dir) -> DataFrame:
 
     Four decimals put scores exactly on cuts and make ties; the second step scores pairs above 0.9.
     """
-    score = F.round(F.col("o_totalprice") / F.lit(500000.0), 4)
+    score = F.floor(F.col("o_totalprice") / F.lit(50.0)) / F.lit(10000.0)
     second = (F.col("o_orderkey") * 7919 % 10007).cast("double") / F.lit(10007).cast("double")
     return table(spark, sf_dir, "orders").select(
         F.floor(F.col("o_custkey") / CUSTOMER_BLOCK).alias("case_id"),
@@ -127,8 +127,8 @@ def run(spark, sf_dir) -> DataFrame:
 
 ORDER_RUN = f"""
 order_run AS (SELECT o_custkey // {CUSTOMER_BLOCK} AS case_id, o_orderkey AS candidate_id,
-    round(o_totalprice / 500000e0, 4) AS score_01,
-    CASE WHEN round(o_totalprice / 500000e0, 4) > 0.9
+    floor(o_totalprice / 50e0) / 10000e0 AS score_01,
+    CASE WHEN floor(o_totalprice / 50e0) / 10000e0 > 0.9e0
          THEN CAST(o_orderkey * 7919 % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) END AS score_02,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS rel FROM orders),
 run AS (SELECT case_id, candidate_id, score_01 AS score, rel FROM order_run),
