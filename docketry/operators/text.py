@@ -211,6 +211,7 @@ def summarize(kept: DataFrame, words: int = SUMMARY_WORDS, iterations: int = 10)
 
     ``kept`` is the result of ``document_sentences``.
     """
+    kept = materialise(kept)  # read by the scores, the lengths and the result; cleaned once
     scores = sentence_scores(kept, iterations)
     lengths = kept.select(
         "doc_id", F.posexplode(F.transform("sentences", word_count)).alias("pos", "words")
