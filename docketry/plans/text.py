@@ -19,7 +19,7 @@ from docketry.operators.represent import term_counts
 from docketry.plans import views
 from docketry.plans.registry import query
 from docketry.plans.views import TEXT_PAIRS
-from docketry.session import materialise, spread
+from docketry.session import materialise
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -58,7 +58,7 @@ kept AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos
 
 def profiles(spark, sf_dir):
     """The language profiles of the labelled documents, trained once and kept."""
-    labelled = spread(views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    labelled = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").repartition("doc_id")
     return materialise(text.train_language_profiles(labelled, LANGUAGES))
 
 

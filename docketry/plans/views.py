@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.session import spread
-
 VECTOR_BLOCK = 50
 DOCUMENT_BLOCK = 1000
 CUSTOMER_BLOCK = 20
@@ -59,7 +57,7 @@ emb_run AS (SELECT case_id, candidate_id, rel, round(list_dot_product(case_vec,
 
 def documents(spark, sf_dir) -> DataFrame:
     """(doc_id, text)"""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def text_pairs(spark, sf_dir) -> DataFrame:

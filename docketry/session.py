@@ -1,13 +1,14 @@
-"""Session helpers: the shared folder for checkpoints and written tables, and a local session for tests."""
+"""Session helpers: the shared folder for written tables, and a local session for tests and the bench."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where a local session without ``spark.checkpoint.dir`` keeps written tables. Never used on a cluster.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
 
 def local_session(cores: int | str = 8, name: str = "docketry") -> SparkSession:
     """A ``local[cores]`` session with the settings the tests and the bench use."""
@@ -21,40 +22,51 @@ def local_session(cores: int | str = 8, name: str = "docketry") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", LOCAL_FOLDER)
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """This application's folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    A temporary folder is set only where none is configured and the session is local; on a cluster a
-    missing setting is an error, because a machine-local folder would not survive a lost executor.
+    Where the setting is missing, a local session uses ``LOCAL_FOLDER``; on a cluster that is an error,
+    because a machine-local folder would not survive a lost executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="docketry-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return context.getCheckpointDir() or configured
+        configured = LOCAL_FOLDER
+    return f"{configured.rstrip('/')}/docketry-{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, for a table or model written by a job."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and return the read of it.
+
+    The write is a job of its own, run when this is called. Later stages read one fixed result, with
+    column pruning, and a lost executor costs no more than the tasks it ran. ``release`` deletes it.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a reliable checkpoint, so that later stages read one fixed result."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever store holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Redistribute a table that arrives in fewer partitions than there are cores (one small file, one row
-    group) before work that is heavy on the processor. Larger tables are returned as they are."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application has written under the shared folder.
+
+    Call it when no result that reads them is needed any more, e.g. before the session stops.
+    """
+    delete(spark, shared_folder(spark))
