@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import source_mixing, top_products
+from docketry.llm import simhash, source_mixing, top_products
 from docketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,9 @@ WITH vectors AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op3_simhash_groups(spark, sf_dir):
+    """Groups of documents whose SimHash fingerprints differ in four bits at most, chained."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
