@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import simhash, source_mixing, top_products
+from docketry.llm import prefix_bpe, simhash, source_mixing, top_products
 from docketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op3_simhash_groups(spark, sf_dir):
     """Groups of documents whose SimHash fingerprints differ in four bits at most, chained."""
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_prefix_bpe(spark, sf_dir):
+    """Digests of every text's word-level BPE ids and of their decoding."""
+    return prefix_bpe.encode_decode(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
