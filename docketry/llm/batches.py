@@ -35,3 +35,43 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = offsets(column)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[at[0] : at[-1]], at - at[0]
+
+
+#: Odd multiplier of the rolling sums, its inverse, and a fixed random value for every byte.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (xor-shift and multiply, as published for SplitMix64)."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+class Powers:
+    """Powers of a number modulo 2**64, kept and lengthened when needed."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.values = base, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.values) < n:
+            step = np.uint64(pow(int(self.base), len(self.values), 1 << 64))
+            self.values = np.concatenate([self.values, self.values * step])
+        return self.values[:n]
+
+
+RISING, FALLING = Powers(BASE), Powers(INVERSE)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span of bytes, from running sums over the whole buffer.
+
+    Equal spans have equal hashes wherever they stand; different ones agree by chance only.
+    """
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * RISING.upto(len(data)), out=sums[1:])
+    values = (sums[ends] - sums[starts]) * FALLING.upto(len(data) + 1)[starts]
+    return mixed(values + (ends - starts).astype(np.uint64))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import prefix_bpe, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, prefix_bpe, simhash, source_mixing, top_products
 from docketry.llm.common import table
+from docketry.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,12 @@ def op8_prefix_bpe(spark, sf_dir):
     return prefix_bpe.encode_decode(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op2_bit_planes(spark, sf_dir):
+    """Documents as read back from a token file of all texts."""
+    folder = new_path(spark, "tokens")
+    bit_planes.write(table(spark, sf_dir, "documents"), folder)
+    ids = bit_planes.read(spark, folder)
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
