@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, prefix_bpe, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, count_transducer, prefix_bpe, simhash, source_mixing, top_products
 from docketry.llm.common import table
 from docketry.session import new_path
 
@@ -71,3 +71,9 @@ def op2_bit_planes(spark, sf_dir):
     bit_planes.write(table(spark, sf_dir, "documents"), folder)
     ids = bit_planes.read(spark, folder)
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    """Bytes and sentencepiece tokens of every text, and whether it has more than 4096 of them."""
+    return count_transducer.token_counts(table(spark, sf_dir, "documents"))
