@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, count_transducer, prefix_bpe, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, count_transducer, license_rules, prefix_bpe, simhash, source_mixing, top_products
 from docketry.llm.common import table
 from docketry.session import new_path
 
@@ -77,3 +77,9 @@ def op2_bit_planes(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     """Bytes and sentencepiece tokens of every text, and whether it has more than 4096 of them."""
     return count_transducer.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_rules(spark, sf_dir):
+    """License phrases and rule detections of every text."""
+    return license_rules.summary(license_rules.scan(table(spark, sf_dir, "documents")))
