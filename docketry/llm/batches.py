@@ -9,6 +9,7 @@ import pyarrow as pa
 
 #: Bytes of text that a task works on at once; a longer single text is a piece of its own.
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 2048
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -20,6 +21,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, "right")) - 1)
+            stop = min(stop, start + PIECE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -75,3 +77,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(BYTE_VALUES[data] * RISING.upto(len(data)), out=sums[1:])
     values = (sums[ends] - sums[starts]) * FALLING.upto(len(data) + 1)[starts]
     return mixed(values + (ends - starts).astype(np.uint64))
+
+
+#: Per byte, A-Z as a-z; and whether it separates words (ASCII white space).
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[ord("A") : ord("Z") + 1] += 32
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): words of texts end to end; text i has the words first[i] to first[i + 1]."""
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~SPACES[data]
+    begins = word[1:] & (~word[:-1] | first)
+    stops = word[:-1] & (~word[1:] | first)
+    starts = np.flatnonzero(begins[: len(data)])
+    return starts, np.flatnonzero(stops[: len(data) + 1]), np.searchsorted(starts, at)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, count_transducer, license_rules, prefix_bpe, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, count_transducer, license_rules, one_permutation, prefix_bpe, simhash, source_mixing, top_products
 from docketry.llm.common import table
 from docketry.session import new_path
 
@@ -83,3 +83,9 @@ def op6_token_counts(spark, sf_dir):
 def op7_license_rules(spark, sf_dir):
     """License phrases and rule detections of every text."""
     return license_rules.summary(license_rules.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_one_permutation_minhash(spark, sf_dir):
+    """Fingerprints of every text and of its edited text, with their likeness."""
+    return one_permutation.compare_edits(table(spark, sf_dir, "documents"))

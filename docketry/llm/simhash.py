@@ -160,20 +160,23 @@ def links(distinct: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS) -
     if limit > 2 * HALVES:
         raise ValueError("cells within one step of each half cover up to 4 differing bits")
     counted = cells(distinct).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    link = lambda rows: rows.mapInArrow(lambda batches: cell_links(batches, limit), "u long, v long")
+    # the count has brought a cell's rows together already
+    usual = counted.filter(F.col("rows").between(2, cell_rows)).select("cell", F.lit(0).cast("long").alias("pair"), "fp")
     blocks = F.ceil(F.col("rows") / cell_rows)
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     pair = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda other: F.least(mine, other) * F.col("blocks") + F.greatest(mine, other),
     )
-    dealt = (
-        counted.filter("rows > 1")
+    crowded = (
+        counted.filter(F.col("rows") > cell_rows)
         .withColumn("blocks", blocks)
         .select("cell", F.explode(pair).alias("pair"), "fp")
         .repartition("cell", "pair")
-        .sortWithinPartitions("cell", "pair")
     )
-    return dealt.mapInArrow(lambda batches: cell_links(batches, limit), "u long, v long").distinct()
+    order = ("cell", "pair")
+    return link(usual.sortWithinPartitions(*order)).unionByName(link(crowded.sortWithinPartitions(*order))).distinct()
 
 
 def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
