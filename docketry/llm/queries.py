@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, count_transducer, license_rules, one_permutation, prefix_bpe, simhash, source_mixing, top_products
-from docketry.llm.common import table
+from docketry.llm import bit_planes, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
+from docketry.llm.common import documents, table
 from docketry.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,15 @@ def op7_license_rules(spark, sf_dir):
 def op5_one_permutation_minhash(spark, sf_dir):
     """Fingerprints of every text and of its edited text, with their likeness."""
     return one_permutation.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_knn(spark, sf_dir):
+    """Quality of every text by votes of labelled texts; a third of the labels is held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality_neighbours.is_held_out()
+    model = quality_neighbours.fit(docs, labels, held_out)
+    scored = quality_neighbours.score(documents(docs), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
