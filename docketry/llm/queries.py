@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, context_mixing, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
 from docketry.llm.common import documents, table
 from docketry.session import new_path
 
@@ -101,3 +101,9 @@ def op4_quality_knn(spark, sf_dir):
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op1_context_mixing(spark, sf_dir):
+    """Log probabilities of every text under a model of nine tenths of them."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
