@@ -20,6 +20,11 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns)
 
 
+def content_keys(*columns: Column) -> list[Column]:
+    """Two independent hashes, 96 bits in all, that stand for a row's values."""
+    return [F.xxhash64(*columns).alias("_content"), F.hash(*columns).alias("_check")]
+
+
 def crc_remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; a null counts as the empty text."""
     text = F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column, F.lit(""))

@@ -161,12 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, samp
     return Model(weights, axes, unit_rows(matrix @ axes).astype(np.float32), quality, float(quality.mean()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, from 0 to 1; higher means label 1 is likelier.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, from 0 to 1; higher means label 1 is likelier.
 
     Null and empty texts, and texts that resemble no labelled one, get the mean label. A score depends on the
-    row's text alone, so repeated rows agree and other columns stay as they are (but for one named score,
-    which is replaced). An empty table gives an empty result.
+    row's text alone, so repeated rows agree and other columns stay as they are (but for one called
+    ``name``, which is replaced). An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 start = stop
             yield pa.array(np.clip(np.concatenate(found), 0.0, 1.0) if found else np.zeros(0), pa.float64())
 
-    return docs.withColumn("score", votes("text"))
+    return docs.withColumn(name, votes("text"))
 
 
 def is_held_out() -> Column:

@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.llm.common import documents
+from docketry.llm.common import content_keys
 from docketry.llm.components import components
 from docketry.session import materialise
 
@@ -53,15 +53,16 @@ def signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed 64-bit number; null texts count as empty."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, fp): the fingerprint of every row as a signed 64-bit number; null texts count as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = signed([fingerprint(t.as_py()) for t in batch.column("text")])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(values)], [*keys, "fp"])
 
-    return documents(docs).mapInArrow(work, "doc_id long, fp long")
+    types = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    return docs.select(*keys, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, f"{types}fp long")
 
 
 def cell_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +180,15 @@ def links(distinct: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS) -
     return link(usual.sortWithinPartitions(*order)).unionByName(link(crowded.sortWithinPartitions(*order))).distinct()
 
 
+def roots(prints: DataFrame, first: Column, limit: int) -> DataFrame:
+    """(fp, first, root): every distinct fingerprint with its least ``first`` and the root of its group."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    found = materialise(components(links(distinct, limit)), "roots")
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -186,14 +196,26 @@ def groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     fingerprint zero and are linked like any other; null doc_ids count for no component and rows with one
     are returned; repeated rows are returned as often as they occur; an empty table gives an empty result.
     """
-    prints = materialise(fingerprints(docs), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = materialise(components(links(distinct, limit)), "roots")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    prints = materialise(fingerprints(docs, "doc_id"), "prints")
+    rooted = roots(prints, F.col("doc_id"), limit)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: the one with the least doc_id.
+
+    Rows with a null doc_id come last; among rows of one doc_id a hash of the text decides, and of rows equal
+    in doc_id and text one stays. All columns are returned as they are.
+    """
+    keys = content_keys(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    keyed = docs.select("*", *keys)
+    prints = materialise(fingerprints(keyed, "doc_id", "_content", "_check"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_content", "_check")
+    kept = roots(prints, order, limit).groupBy("root").agg(F.min("first").alias("kept"))
+    kept = kept.select("kept._content", "kept._check")
+    rows = keyed.join(kept, ["_content", "_check"], "left_semi")
+    return rows.dropDuplicates(["_content", "_check"]).select(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.llm.common import WORD, documents, in_order, running_start
+from docketry.llm.common import WORD, content_keys, documents, in_order, running_start
 from docketry.session import materialise
 
 #: Mean number of units folded by one bucket.
@@ -25,11 +25,10 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, source, size) of every row; size is the number of words, 0 for null and empty texts."""
-    return documents(docs, "source").select(
-        "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
-    )
+    words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    return documents(docs, "source").select("doc_id", "source", words.alias("size"), *more)
 
 
 def weighted(sources: DataFrame) -> DataFrame:
@@ -160,25 +159,22 @@ def round_fractions(units: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return decided.select("source", F.col("unit.key").alias("key"), F.round("unit.p").cast("int").alias("taken"))
 
 
-def mix(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies) for every row of ``docs``.
+def unit_copies(sized: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, source, size, ...) -> one row per distinct row, with ``rows``, ``copies``, source_size and target.
 
-    ``copies`` (0 to 3) is how often the mix takes the document. Documents without words are taken 0 times.
-    A null doc_id or source is a value like any other, other columns are not read, equal rows get copies that
-    differ by one at most, and an empty table gives an empty result.
+    ``rows`` is how often it occurs and ``copies`` how often the mix takes it, all its rows together.
     """
-    sized = materialise(sizes(docs), "sizes")
-    goals = materialise(targets(sized), "goals")
-    units = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    goals = materialise(targets(sized), "goals").withColumnRenamed("source", "_source")
+    units = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("rows"))
     wanted = F.when(F.col("size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goals.withColumnRenamed("source", "_source")
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sized.columns if c != "source"]
     units = (
-        units.join(goal, F.col("source").eqNullSafe(F.col("_source")))
+        units.join(goals, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_wanted", wanted)
         .withColumn("_whole", F.floor("_wanted"))
         .withColumn("_p", F.col("_wanted") - F.col("_whole"))
-        .withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size"))
+        .withColumn("_key", F.concat_ws("/", *own))
     )
     units = materialise(units, "units")
     open_units = units.filter("_p > 0").select("source", F.col("_key").alias("key"), "size", F.col("_p").alias("p"))
@@ -186,11 +182,37 @@ def mix(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.col("source").alias("_source"), F.col("key").alias("_taken_key"), F.col("taken").alias("_taken")
     )
     same = (F.col("_key") == F.col("_taken_key")) & F.col("source").eqNullSafe(F.col("_source"))
-    total = (F.col("_whole") + F.coalesce("_taken", F.lit(0))).cast("long")
-    row = F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row")  # the rows that were equal
+    copies = (F.col("_whole") + F.coalesce("_taken", F.lit(0))).cast("long")
+    return units.join(taken, same, "left").select(
+        *sized.columns, "source_size", "target", "rows", copies.alias("copies")
+    )
+
+
+def mix(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies) for every row of ``docs``.
+
+    ``copies`` (0 to 3) is how often the mix takes the document. Documents without words are taken 0 times.
+    A null doc_id or source is a value like any other, other columns are not read, equal rows get copies that
+    differ by one at most, and an empty table gives an empty result.
+    """
+    units = unit_copies(materialise(sizes(docs), "sizes"), bucket)
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_row")  # the rows that were equal
+    more = (F.col("_row") <= F.col("copies") % F.col("rows")).cast("long")
     return (
-        units.join(taken, same, "left")
-        .select("doc_id", "size", "source", "source_size", "target", "rows", total.alias("_total"), row)
-        .withColumn("copies", F.floor(F.col("_total") / F.col("rows")) + (F.col("_row") <= F.col("_total") % F.col("rows")).cast("long"))
-        .drop("rows", "_total", "_row")
+        units.select("doc_id", "size", "source", "source_size", "target", "rows", "copies", row)
+        .withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + more)
+        .drop("rows", "_row")
     )
+
+
+def mixed_documents(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with the same columns.
+
+    Rows that agree in doc_id, source and text count as equal, whatever their other columns hold.
+    """
+    keys = content_keys(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit("")))
+    copies = unit_copies(materialise(sizes(docs, *keys), "sizes"), bucket).filter("copies > 0")
+    keyed = docs.select("*", *keys).dropDuplicates(["_content", "_check"])
+    taken = keyed.join(copies.select("_content", "_check", "copies"), ["_content", "_check"])
+    number = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    return taken.withColumn("_copy", F.explode(number)).select(*docs.columns)
