@@ -8,9 +8,8 @@ from pyspark.sql import Column, functions as F
 
 SENTENCE_MARK = "\u0001"
 MIN_SENTENCE_WORDS = 5
-# Everything outside this alphabet counts as a blank for language profiles, which bounds the number
-# of different letter trigrams by (26 + 34 + 1) ** 3 whatever the size of the corpus.
-NON_LETTERS = "[^a-zß-ÿœ]+"
+# Everything but letters, of any script, counts as a blank for language profiles.
+NON_LETTERS = r"[^\p{L}]+"
 
 
 def clean_whitespace(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.measures import ratio
 from docketry.operators.metrics import rels_per_case
-from docketry.operators.ranking import SINGLE_TASK_ROWS, running_sums
+from docketry.operators.ranking import running_sums
 
 
 def _by_score(run: DataFrame, score: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _by_score(run: DataFrame, score: str) -> DataFrame:
     )
 
 
-def roc_curve(run: DataFrame, score: str = "score", single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def roc_curve(run: DataFrame, score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, after a start point at largest score + 1.
 
     All points are kept, collinear ones too. Distinct scores are counted first; their running sums are
@@ -25,7 +25,7 @@ def roc_curve(run: DataFrame, score: str = "score", single_task_rows: int = SING
     """
     counts = _by_score(run, score)
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
-    points = running_sums(counts, [], [F.col("threshold").desc()], sums, single_task_rows)
+    points = running_sums(counts, [], [F.col("threshold").desc()], sums)
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("threshold").alias("top"))
     p, n = totals.select("p").scalar(), totals.select("n").scalar()
     curve = points.select("threshold", ratio(F.col("fp"), n).alias("fpr"), ratio(F.col("tp"), p).alias("tpr"))
@@ -33,10 +33,10 @@ def roc_curve(run: DataFrame, score: str = "score", single_task_rows: int = SING
     return start.unionByName(curve)
 
 
-def roc_auc(run: DataFrame, score: str = "score", single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def roc_auc(run: DataFrame, score: str = "score") -> DataFrame:
     """(positives, negatives, auc): share of (positive, negative) pairs in the right order, ties half."""
     counts = _by_score(run, score)
-    upto = running_sums(counts, [], [F.col("threshold")], {"upto": F.col("neg")}, single_task_rows)
+    upto = running_sums(counts, [], [F.col("threshold")], {"upto": F.col("neg")})
     lower = F.col("upto") - F.col("neg")
     sums = upto.agg(
         F.sum("pos").alias("positives"),
@@ -159,7 +159,7 @@ def metric_histograms(report: DataFrame, bins: int = 10, groups=METRIC_GROUPS) -
 def density_curve(values: DataFrame, low: float, high: float, points: int, by: str | None = None, value: str = "value") -> DataFrame:
     """(by, x, density): Gaussian kernel density with Scott's bandwidth at ``points`` + 1 places.
 
-    Equal values are counted first; each distinct value then adds to the fixed list of places.
+    Equal values are counted first; one aggregate then has a sum for each of the fixed places.
     """
     keys = [by] if by else []
     rows = values.filter(F.col(value).isNotNull())
@@ -169,11 +169,15 @@ def density_curve(values: DataFrame, low: float, high: float, points: int, by: s
         (F.stddev_samp(F.col(value).cast("double")) * F.pow(F.count("*"), F.lit(-0.2))).alias("h"),
     )
     if by:
-        weighed = distinct.join(F.broadcast(stats), by)  # one row per label
+        weighed = distinct.join(stats, by)
     else:
         weighed = distinct.withColumns({c: stats.select(c).scalar() for c in ("size", "h")})
     places = [low + (high - low) * i / points for i in range(points + 1)]
-    spread = weighed.select(*keys, "v", "n", "size", "h", F.explode(F.lit(places)).alias("x"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    kernel = F.col("n") * F.exp(F.lit(-0.5) * z * z) / (F.col("size") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return spread.groupBy(*keys, "x").agg(F.sum(kernel).alias("density"))
+    scale = F.col("size") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
+
+    def density(x: float) -> Column:
+        z = (F.lit(x) - F.col("v")) / F.col("h")
+        return F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z) / scale)
+
+    sums = F.array(*[F.struct(F.lit(x).alias("x"), density(x).alias("density")) for x in places])
+    return weighed.groupBy(*keys).agg(sums.alias("places")).select(*keys, F.inline("places"))

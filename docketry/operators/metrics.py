@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docketry.functions.measures import f1, ratio
-from docketry.operators.ranking import SINGLE_TASK_ROWS, first_rows, running_sums, top_ranked
+from docketry.operators.ranking import first_rows, running_sums, top_ranked
 from docketry.session import materialise
 
 # The cuts of the usual retrieval evaluation.
@@ -162,12 +162,12 @@ def ordered_pair_accuracy_at_k(run: DataFrame, cuts: Sequence[int] = (5, 10, 20)
     return _ordered_pairs(counts, ["k"], sums).select("k", "correct", "pairs", _share())
 
 
-def ordered_pair_accuracy(run: DataFrame, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def ordered_pair_accuracy(run: DataFrame) -> DataFrame:
     """(correct, pairs, opa) over whole candidate lists."""
     counts = run.groupBy("case_id", "score").agg(
         F.count(F.when(_relevant(), 1)).alias("pos"), F.count(F.when(~_relevant(), 1)).alias("neg")
     )
-    upto = running_sums(counts, ["case_id"], [F.col("score")], {"upto": F.col("neg")}, single_task_rows)
+    upto = running_sums(counts, ["case_id"], [F.col("score")], {"upto": F.col("neg")})
     sums = upto.withColumn("below", F.col("upto") - F.col("neg"))
     return _ordered_pairs(counts, [], sums).select("correct", "pairs", _share())
 

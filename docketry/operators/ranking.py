@@ -1,9 +1,9 @@
 """Ranks and running sums that hold up when one case owns a large share of all rows.
 
-``first_rows`` keeps a window with a rank limit, which Spark applies before the shuffle, so a task never
-receives more than the limit per case and map task. Full ranks go through ``running_sums``: while the
-largest group is small it is one window; beyond that rows are range-partitioned by group *and* order, so
-a group spreads over many tasks, and the sums of the preceding ranges are added back.
+``first_rows`` is a window with a rank limit, which Spark applies before the shuffle, so a task never receives
+more than the limit per case and map task. Full ranks go through ``running_sums``: rows are range-partitioned by
+group *and* order and written, so that a group spreads over as many tasks as it needs, summed per range, and the
+sums of the group's earlier ranges are added back. It is the same at every size.
 """
 
 from __future__ import annotations
@@ -12,57 +12,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docketry.session import materialise
 
-# A group up to this many rows is sorted by one task; larger groups are spread over several.
-SINGLE_TASK_ROWS = 2_000_000
 
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add inclusive running sums ``name -> value`` per group in the given (total) order.
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group. One row reaches the driver; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def running_sums(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    sums: dict[str, Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
-    """Add inclusive running sums ``name -> value`` per group in the given (total) order."""
-    if largest_group(df, keys) <= single_task_rows:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(frame) for name, value in sums.items()})
-    return _spread_running_sums(df, keys, order, sums)
-
-
-def _spread_running_sums(df, keys, order, sums):
+    Nulls in a key are a group like any other. The rows are written once under the shared folder when this is
+    called, because a range number has a meaning for one shuffle only.
+    """
     by_keys = [F.col(k) for k in keys]
-    # The range number is only meaningful for one shuffle, so it is fixed by a checkpoint before two
-    # branches read it.
-    ranges = materialise(df.repartitionByRange(*by_keys, *order).withColumn("_range", F.spark_partition_id()))
+    values = {f"_add_{name}": value for name, value in sums.items()}
+    ranged = df.withColumns(values).repartitionByRange(*by_keys, *order)
+    ranges = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranges.withColumns({name: F.sum(value).over(inside) for name, value in sums.items()})
-    totals = ranges.groupBy("_range", *keys).agg(*[F.sum(v).alias(f"_{n}") for n, v in sums.items()])
+    local = ranges.withColumns({name: F.sum(f"_add_{name}").over(inside) for name in sums})
+    totals = ranges.groupBy("_range", *keys).agg(*[F.sum(f"_add_{n}").alias(f"_{n}") for n in sums])
     # one row per group and range it touches: at most (groups + ranges) rows, (ranges) within a group
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumns(
-        {f"_{n}": F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)) for n in sums}
+    offsets = totals.select(
+        F.col("_range").alias("_of_range"),
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums],
     )
-    joined = local.join(offsets, ["_range", *keys])
-    added = joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
+    same = F.col("_range") == F.col("_of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    added = local.join(offsets, same).withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
     return added.select(*df.columns, *sums)
 
 
-def row_numbers(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    name: str = "rank",
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Number the rows of each group from 1 in the given (total) order."""
-    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, single_task_rows)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")})
 
 
 def run_order(score: str = "score", tie: str = "candidate") -> list[Column]:
@@ -78,27 +58,19 @@ def run_order(score: str = "score", tie: str = "candidate") -> list[Column]:
 
 
 def rank_positions(
-    run: DataFrame,
-    score: str = "score",
-    tie: str = "candidate",
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    keys: tuple[str, ...] = ("case_id",),
+    run: DataFrame, score: str = "score", tie: str = "candidate", keys: tuple[str, ...] = ("case_id",)
 ) -> DataFrame:
     """Position of every candidate within its case, best score first."""
-    return row_numbers(run, list(keys), run_order(score, tie), "rank", single_task_rows)
+    return row_numbers(run, list(keys), run_order(score, tie), "rank")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], limit: int, name: str = "rank") -> DataFrame:
     """The first ``limit`` rows of each group, numbered.
 
-    Up to the optimizer's threshold the limit is applied before the shuffle; a longer list is numbered in
-    the way that spreads large groups.
+    Spark applies a limit of up to ``spark.sql.optimizer.windowGroupLimitThreshold`` before the shuffle; raise
+    that setting for longer lists of cases that own a large share of all rows.
     """
-    pushed = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if limit <= pushed:
-        numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    else:
-        numbered = row_numbers(df, keys, order, name)
+    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return numbered.filter(F.col(name) <= limit)
 
 
@@ -114,7 +86,6 @@ def average_rank(
     score: str = "score",
     name: str = "avg_rank",
     limit: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Mean rank of tied candidates, best score first (rows without a score are left out).
 
@@ -129,7 +100,7 @@ def average_rank(
         frame = Window.partitionBy("case_id").orderBy(*best_first).rowsBetween(Window.unboundedPreceding, 0)
         ties = ties.withColumn("_upto", F.sum("_n").over(frame))
     else:
-        ties = running_sums(ties, ["case_id"], best_first, {"_upto": F.col("_n")}, single_task_rows)
+        ties = running_sums(ties, ["case_id"], best_first, {"_upto": F.col("_n")})
     mean_rank = (F.col("_upto") - F.col("_n")).cast("double") + (F.col("_n") + 1) / F.lit(2.0)
     ranks = ties.select("case_id", score, mean_rank.alias(name))
     if limit is not None:

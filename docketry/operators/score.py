@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docketry.functions.vectors import cosine, dot, map_dot, norm
-from docketry.operators.represent import term_maps
+from docketry.operators.ranking import row_numbers
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,17 +27,21 @@ def cosine_rank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def sparse_cosine_rank(pairs: DataFrame, values: DataFrame, value: str = "value") -> DataFrame:
     """Pairs with ``score``: the cosine of their sparse vectors, 0 without a shared term.
 
-    Each document becomes one row with a map, so a pair is two joins by document and no shuffle by term;
-    the cost does not depend on how frequent a term is.
+    Each document becomes one row with a map and its length, from one aggregate. The query's map joins the
+    pairs first and the candidates' maps last, so a candidate's map crosses the network once however many
+    cases list it. There is no shuffle by term; the cost does not depend on how frequent a term is.
     """
-    size = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy("doc_id")))
-    unit = values.select("doc_id", "term", (F.col(value) / size).alias("value"))
-    maps = term_maps(unit)
-    case_side = maps.select(F.col("doc_id").alias("case_id"), F.col("terms").alias("_a"))
-    candidate_side = maps.select(F.col("doc_id").alias("candidate_id"), F.col("terms").alias("_b"))
-    joined = pairs.join(candidate_side, "candidate_id", "left").join(case_side, "case_id", "left")
-    score = F.coalesce(map_dot(F.col("_a"), F.col("_b")), F.lit(0.0))
-    return joined.select(*pairs.columns, score.alias("score"))
+    documents = values.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", F.col(value).alias("value")))).alias("terms"),
+        F.sqrt(F.sum(F.col(value) * F.col(value))).alias("size"),
+    )
+    case_side, candidate_side = (
+        documents.select(F.col("doc_id").alias(key), F.col("terms").alias(f"_{n}"), F.col("size").alias(f"_size_{n}"))
+        for key, n in (("case_id", "a"), ("candidate_id", "b"))
+    )
+    joined = pairs.join(case_side, "case_id", "left").join(candidate_side, "candidate_id", "left")
+    shared = map_dot(F.col("_a"), F.col("_b")) / (F.col("_size_a") * F.col("_size_b"))
+    return joined.select(*pairs.columns, F.coalesce(shared, F.lit(0.0)).alias("score"))
 
 
 def bm25_rank(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -45,16 +49,14 @@ def bm25_rank(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     candidates of the case are the corpus. A negative idf is replaced by a quarter of the mean idf.
 
     ``counts`` is ``term_counts(docs, bm25_tokens)``: every document is tokenised once, however many
-    cases share it. Per case only document frequencies are shuffled, combined beforehand; each query
-    becomes one map of term weights, no larger than its text, that its pairs pick up.
+    cases share it. Per case only document frequencies are shuffled, combined beforehand; one aggregate makes
+    of them the mean idf and the query's term weights, a map no larger than its text. That joins the pairs
+    first and the candidates' maps last, so each of those crosses the network once.
     """
     texts = counts.groupBy(F.col("doc_id").alias("candidate_id")).agg(
         F.sum("tf").alias("length"),
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("terms"),
     )
-    with_texts = pairs.join(texts, "candidate_id", "left").withColumn(
-        "length", F.coalesce("length", F.lit(0))
-    )
     lengths = counts.groupBy(F.col("doc_id").alias("candidate_id")).agg(F.sum("tf").alias("length"))
     keys = pairs.select("case_id", "candidate_id")
     shapes = keys.join(lengths, "candidate_id", "left").groupBy("case_id").agg(
@@ -62,27 +64,26 @@ def bm25_rank(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     )
     terms = counts.select(F.col("doc_id").alias("candidate_id"), "term")
     appearances = keys.join(terms, "candidate_id").groupBy("case_id", "term").agg(F.count("*").alias("df"))
-    idf = appearances.join(shapes.select("case_id", "n"), "case_id").select(
-        "case_id", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")
-    )
-    means = idf.groupBy("case_id").agg(F.avg("idf").alias("mean_idf"))
     asked = counts.select(F.col("doc_id").alias("case_id"), "term", "tf")
-    used = F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(EPSILON) * F.col("mean_idf"))
-    profiles = (
-        asked.join(idf, ["case_id", "term"])
-        .join(means, "case_id")
-        .groupBy("case_id")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("term", (F.col("tf") * used).alias("weight")))
-            ).alias("profile")
-        )
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    rated = (
+        appearances.join(asked, ["case_id", "term"], "left")
+        .join(shapes, "case_id")
+        .select("case_id", "average_length", "term", "tf", idf.alias("idf"))
+    )
+    profiles = rated.groupBy("case_id").agg(
+        F.first("average_length").alias("average_length"),
+        F.avg("idf").alias("mean_idf"),
+        F.collect_list(F.when(F.col("tf").isNotNull(), F.struct("term", "tf", "idf"))).alias("asked"),
     )
-    queries = shapes.join(profiles, "case_id", "left").select("case_id", "average_length", "profile")
-    damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.try_divide("length", "average_length"))
+    used = lambda e: F.when(e["idf"] >= 0, e["idf"]).otherwise(F.lit(EPSILON) * F.col("mean_idf"))
+    weights = F.transform("asked", lambda e: F.struct(e["term"], (e["tf"] * used(e)).alias("weight")))
+    queries = profiles.select("case_id", "average_length", F.map_from_entries(weights).alias("profile"))
+    damp = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.try_divide(F.coalesce("length", F.lit(0)), "average_length"))
     saturated = lambda weight, tf: weight * (tf * F.lit(K1 + 1)) / (tf + damp)
     score = F.coalesce(map_dot(F.col("profile"), F.col("terms"), saturated), F.lit(0.0))
-    return with_texts.join(queries, "case_id").select(*pairs.columns, score.alias("score"))
+    joined = pairs.join(queries, "case_id", "left").join(texts, "candidate_id", "left")
+    return joined.select(*pairs.columns, score.alias("score"))
 
 
 def rank_run(scored: DataFrame) -> DataFrame:
@@ -99,18 +100,19 @@ def fuse_runs(first: DataFrame, second: DataFrame, labels: DataFrame) -> DataFra
 
 
 def log_score(run: DataFrame, score: str = "score_1", name: str = "new_score") -> DataFrame:
-    """Add the natural logarithm of a score; NULL for scores that are not positive."""
-    return run.withColumn(name, F.when(F.col(score) > 0, F.log(score)))
+    """Add the natural logarithm of a score: minus infinity for 0, NULL for negative scores."""
+    return run.withColumn(name, F.when(F.col(score) > 0, F.log(score)).when(F.col(score) == 0, F.lit(float("-inf"))))
 
 
 def unfold_scores(lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Score arrays per query (case_id, scores), aligned with the ascending candidate ids of ``pairs``."""
-    from docketry.operators.ranking import row_numbers
+    """Score arrays per query (case_id, scores), aligned with the ascending candidate ids of ``pairs``.
 
+    Every pair is returned; one beyond the end of its array has a null score.
+    """
     places = row_numbers(pairs.select("case_id", "candidate_id"), ["case_id"], [F.col("candidate_id")], "place")
     values = lists.select("case_id", F.posexplode("scores").alias("_pos", "score"))
     scores = values.select("case_id", (F.col("_pos") + 1).cast("bigint").alias("place"), "score")
-    return places.join(scores, ["case_id", "place"]).select("case_id", "candidate_id", "score")
+    return places.join(scores, ["case_id", "place"], "left").select("case_id", "candidate_id", "score")
 
 
 def attach_external_scores(pairs: DataFrame, probabilities: DataFrame, column: str = "probabilities") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docketry.functions.measures import f1, ratio
-from docketry.operators.ranking import SINGLE_TASK_ROWS, run_order, running_sums, top_ranked
+from docketry.operators.ranking import run_order, running_sums, top_ranked
 
 STEPS = 10_000
 

@@ -51,8 +51,7 @@ def train_language_profiles(labelled: DataFrame, languages: Sequence[str]) -> Da
     """Smoothed log probability of every letter trigram, one column ``lp_<language>`` each, and the
     value ``unseen_<language>`` for trigrams that occur in no training text.
 
-    ``labelled`` holds (text, lang). The alphabet of ``letter_trigrams`` is fixed, so the table has at
-    most 61 ** 3 rows and may be broadcast.
+    ``labelled`` holds (text, lang). Letters are those of any script.
     """
     # words are counted first, so trigrams are taken once per different word
     words = labelled.select("lang", F.explode(F.split(letter_words(F.col("text")), " ")).alias("word"))
@@ -61,7 +60,7 @@ def train_language_profiles(labelled: DataFrame, languages: Sequence[str]) -> Da
     )
     grams = by_word.withColumn("gram", F.explode(letter_trigrams(F.col("word"))))
     counts = grams.groupBy("gram").agg(*[F.sum(f"n_{name}").alias(f"n_{name}") for name in languages])
-    counts = materialise(counts)  # a bounded table, read once per total below
+    counts = materialise(counts)  # read once per total below
     sizes = counts.agg(
         F.count("*").alias("grams"), *[F.sum(f"n_{name}").alias(f"total_{name}") for name in languages]
     )
@@ -85,8 +84,7 @@ def detect_language(sentence_rows: DataFrame, profiles: DataFrame, languages: Se
         "doc_id", "pos", F.explode_outer(letter_trigrams(F.col("sentence"))).alias("gram")
     )
     unseen = profiles.select(*[F.max(f"unseen_{name}").alias(f"unseen_{name}") for name in languages])
-    # bounded by the fixed alphabet, see train_language_profiles
-    table = F.broadcast(profiles.select("gram", *[f"lp_{name}" for name in languages]))
+    table = profiles.select("gram", *[f"lp_{name}" for name in languages])
     matched = grams.join(table, "gram", "left")
     scores = matched.groupBy("doc_id", "pos").agg(
         F.count("gram").alias("grams"),

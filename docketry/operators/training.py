@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.operators.ranking import SINGLE_TASK_ROWS, first_rows, row_numbers
+from docketry.operators.ranking import first_rows, row_numbers
 from docketry.session import materialise
 
 PADDING_LABEL = -1.0
@@ -24,14 +24,14 @@ def _hash_order(seed: int, keys: list[str]) -> list[Column]:
 
 
 def grouped_split(
-    rows: DataFrame, train_fraction: float = 0.75, seed: int = 0, single_task_rows: int = SINGLE_TASK_ROWS
+    rows: DataFrame, train_fraction: float = 0.75, seed: int = 0
 ) -> DataFrame:
     """Rows with ``side`` ('train' or 'test'); all rows of a case are on one side.
 
     The first ``floor(train_fraction * cases)`` cases in the order of a seeded hash are for training.
     """
     cases = rows.select("case_id").distinct()
-    numbered = row_numbers(cases, [], _hash_order(seed, ["case_id"]), "_place", single_task_rows)
+    numbered = row_numbers(cases, [], _hash_order(seed, ["case_id"]), "_place")
     size = cases.select(F.count("*").alias("n")).scalar()
     limit = F.floor(size * F.lit(float(train_fraction)))
     side = F.when(F.col("_place") <= limit, F.lit("train")).otherwise(F.lit("test"))
@@ -48,28 +48,34 @@ def class_counts(rows: DataFrame, *by: str, label: str = "rel") -> DataFrame:
     return rows.groupBy(*by, label).agg(F.count("*").alias("n"))
 
 
-def oversample(
-    rows: DataFrame,
-    keys: list[str],
-    ratio: float = 1.0,
-    label: str = "rel",
-    seed: int = 0,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def two_classes(rows: DataFrame, label: str) -> tuple[object, int, int]:
+    """(label of the smaller class, its rows, rows of the larger); one aggregated row reaches the driver.
+
+    Of equal classes the smaller label counts as the smaller class; one class alone is (None, 0, its rows).
+    """
+    low, high = rows.agg(F.min(label), F.max(label)).first()
+    if low is None or low == high:
+        return None, 0, rows.count()
+    value = F.col(label)
+    lows, highs, total = rows.agg(
+        F.count_if(value == F.lit(low)), F.count_if(value == F.lit(high)), F.count(F.lit(1))
+    ).first()
+    if lows + highs != total:
+        raise ValueError(f"{label} must hold two values and no nulls")
+    return (low, lows, highs) if lows <= highs else (high, highs, lows)
+
+
+def oversample(rows: DataFrame, keys: list[str], ratio: float = 1.0, label: str = "rel", seed: int = 0) -> DataFrame:
     """Repeat rows of the smaller class until it has ``floor(ratio * larger)`` rows; ``copy`` numbers the
     repeats from 0. Nothing is removed, and nothing added when the ratio is already reached.
 
     Repeats are dealt round-robin in the order of a seeded hash, so counts come out exactly.
     """
-    counts = {r[label]: r["n"] for r in class_counts(rows, label=label).collect()}  # two rows
-    if len(counts) < 2:
+    smaller, have, larger = two_classes(rows, label)
+    if not have:
         return rows.withColumn("copy", F.lit(0))
-    smaller = min(counts, key=lambda c: (counts[c], c))
-    have, larger = counts[smaller], max(counts.values())
     wanted = max(have, int(np.floor(ratio * larger)))
-    minority = row_numbers(
-        rows.filter(F.col(label) == F.lit(smaller)), [], _hash_order(seed, keys), "_place", single_task_rows
-    )
+    minority = row_numbers(rows.filter(F.col(label) == F.lit(smaller)), [], _hash_order(seed, keys), "_place")
     repeats = F.lit(wanted // have) + F.when(F.col("_place") <= wanted % have, 1).otherwise(0)
     copies = F.explode(F.sequence(F.lit(0), (repeats - 1).cast("int"))).alias("copy")
     others = rows.filter(F.col(label) != F.lit(smaller)).withColumn("copy", F.lit(0))
@@ -81,51 +87,48 @@ def nearest_neighbours(
 ) -> DataFrame:
     """For every point its ``k`` nearest others: (keys, neighbour index ``nn`` from 1, neighbour vector).
 
-    Points are sorted along hashed directions and cut into blocks of ``block_rows``; distances are taken
-    inside blocks only and the best ``k`` over all directions kept. Blocks are cut by position, so their
-    size does not depend on how the points are spread. Up to ``block_rows`` points there is one block and
-    the result is exact; beyond that a true neighbour can be missed where no direction brings it close.
-    Equal distances (to six decimals) go to the smaller key.
+    Points are sorted along ``projections`` hashed directions and each order is cut into blocks of even size,
+    at least ``block_rows`` and less than twice as many, unless there are fewer points. Distances are taken
+    inside blocks and the best ``k`` over all directions kept. With one block that is exact; with more, a true
+    neighbour is missed where no direction brings it close, so more directions or larger blocks raise the
+    recall (over 0.9 in the tests, for 8 directions and 4 blocks). Every point gets ``k`` neighbours, or all
+    others if there are fewer. Equal distances (to six decimals) go to the smaller key.
     """
-    points = materialise(points.select(*keys, "vector"))
+    points = materialise(points.select(*keys, "vector"), "points")
     size = points.count()
-    rounds = 1 if size <= block_rows else projections
-    placed = None
-    for r in range(rounds):
-        weights = F.transform(
-            "vector",
-            lambda v, i: v * (F.pmod(F.xxhash64(F.lit(seed), F.lit(r), i), F.lit(20011)) / F.lit(10005.0) - F.lit(1.0)),
-        )
-        line = F.round(F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x), 9)
-        numbered = row_numbers(points.withColumn("_line", line), [], [F.col("_line"), *map(F.col, keys)], "_place")
-        block = F.floor((F.col("_place") - 1) / F.lit(block_rows)).cast("int")
-        part = numbered.select(F.lit(r).alias("_round"), block.alias("_block"), *keys, "vector")
-        placed = part if placed is None else placed.unionByName(part)
-
-    def within_block(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(keys).reset_index(drop=True)
-        x = np.stack(block["vector"].to_numpy())
+    blocks = max(1, size // block_rows)
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(projections - 1))).alias("_round")
+    weight = lambda v, i: v * (
+        F.pmod(F.xxhash64(F.lit(seed), F.col("_round"), i), F.lit(20011)) / F.lit(10005.0) - F.lit(1.0)
+    )
+    line = F.round(F.aggregate(F.transform("vector", weight), F.lit(0.0), lambda acc, x: acc + x), 9)
+    lines = points.select(rounds, *keys, "vector").withColumn("_line", line)
+    numbered = row_numbers(lines, ["_round"], [F.col("_line"), *map(F.col, keys)], "_place")
+    placed = numbered.withColumn("_block", F.floor((F.col("_place") - 1) * blocks / F.lit(max(size, 1))).cast("int"))
+
+    def within_block(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(key, "ascending") for key in keys])
+        n, x = block.num_rows, np.array(block["vector"].to_pylist(), np.float64)
         squares = (x * x).sum(axis=1)
         distance = np.round(np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0.0)), 6)
         np.fill_diagonal(distance, np.inf)
-        near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, len(block) - 1)]
-        rows, columns = np.repeat(np.arange(len(block)), near.shape[1]), near.ravel()
-        out = block.loc[rows, keys].reset_index(drop=True)
-        for key in keys:
-            out[f"nn_{key}"] = block[key].to_numpy()[columns]
-        out["distance"] = distance[rows, columns]
-        out["neighbour"] = list(x[columns])
-        return out
+        near = np.argsort(distance, axis=1, kind="stable")[:, : min(k, n - 1)]
+        rows, columns = np.repeat(np.arange(n), near.shape[1]), near.ravel()
+        return pa.table(
+            [block[key].take(rows) for key in keys]
+            + [block[key].take(columns) for key in keys]
+            + [pa.array(distance[rows, columns], pa.float64()), block["vector"].take(columns)],
+            names=[*keys, *[f"nn_{key}" for key in keys], "distance", "neighbour"],
+        )
 
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join(
         [f"{c} {types[c]}" for c in keys]
         + [f"nn_{c} {types[c]}" for c in keys]
-        + ["distance DOUBLE", "neighbour ARRAY<DOUBLE>"]
+        + ["distance DOUBLE", f"neighbour {types['vector']}"]
     )
-    found = placed.groupBy("_round", "_block").applyInPandas(within_block, schema)
-    if rounds > 1:
-        found = found.dropDuplicates([*keys, *[f"nn_{c}" for c in keys]])
+    found = placed.select("_round", "_block", *keys, "vector").groupBy("_round", "_block").applyInArrow(within_block, schema)
+    found = found.dropDuplicates([*keys, *[f"nn_{c}" for c in keys]])
     nearest = Window.partitionBy(*keys).orderBy("distance", *[f"nn_{c}" for c in keys])
     return found.withColumn("nn", F.row_number().over(nearest)).filter(F.col("nn") <= k)
 
@@ -138,7 +141,6 @@ def smote(
     vector: str = "features",
     seed: int = 0,
     block_rows: int = 1024,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """(keys, label, vector, copy): all rows, plus points of the smaller class until both are equal.
 
@@ -146,24 +148,23 @@ def smote(
     neighbour and how far along come from a hash of the point's keys and the number of the copy (``copy``
     is 0 for given rows). Points take turns in the order of a seeded hash.
     """
-    base = rows.select(*keys, label, F.col(vector).alias("vector"))
-    counts = {r[label]: r["n"] for r in class_counts(base, label=label).collect()}  # two rows
+    base = rows.select(*keys, label, F.col(vector).cast("array<double>").alias("vector"))
     given = base.withColumn("copy", F.lit(0))
-    if len(counts) < 2 or len(set(counts.values())) == 1:
+    smaller, have, larger = two_classes(base, label)
+    missing = larger - have
+    if not have or not missing:
         return given.withColumnRenamed("vector", vector)
-    smaller = min(counts, key=lambda c: (counts[c], c))
-    have, missing = counts[smaller], max(counts.values()) - counts[smaller]
     if have < 2:
         raise ValueError("smote needs at least two rows of the smaller class")
     minority = base.filter(F.col(label) == F.lit(smaller))
-    turns = row_numbers(minority, [], _hash_order(seed, keys), "_place", single_task_rows)
+    turns = row_numbers(minority, [], _hash_order(seed, keys), "_place")
     repeats = F.lit(missing // have) + F.when(F.col("_place") <= missing % have, 1).otherwise(0)
     # a point without a new copy drops out of the explode
     copies = turns.select(
         *keys, "vector", F.explode(F.slice(F.sequence(F.lit(0), repeats.cast("int")), 2, repeats.cast("int"))).alias("copy")
     )
     near = nearest_neighbours(minority, keys, k, block_rows)
-    choices = min(k, have - 1)
+    choices = min(k, have - 1, max(block_rows, 2) - 1)
     picked = copies.withColumns(
         {
             "nn": (F.floor(hash_unit(seed, *keys, "copy") * choices) + 1).cast("int"),
@@ -226,6 +227,11 @@ def preference_differences(rows: DataFrame, vector: str = "features", label: str
     )
 
 
+def softplus(x: Column) -> Column:
+    """ln(1 + exp(x)) without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def pairwise_logistic_loss(lists: DataFrame) -> DataFrame:
     """(qid, pairs, loss): sum of ln(1 + exp(-(s_i - s_j))) over the label-ordered pairs of each list.
 
@@ -243,7 +249,7 @@ def pairwise_logistic_loss(lists: DataFrame) -> DataFrame:
                 a["labels"] > b["labels"],
                 F.struct(
                     (inner["pairs"] + 1).alias("pairs"),
-                    (inner["loss"] + F.log1p(F.exp(b["scores"] - a["scores"]))).alias("loss"),
+                    (inner["loss"] + softplus(b["scores"] - a["scores"])).alias("loss"),
                 ),
             ).otherwise(inner),
         ),

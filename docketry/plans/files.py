@@ -147,7 +147,7 @@ def features(spark, sf_dir):
     rel || ' qid:' || case_id || ' ' || array_to_string(parts, ' ') || ' cid:' || candidate_id AS value FROM svm""",
 )
 def libsvm_lines(spark, sf_dir):
-    return lines.libsvm_lines(features(spark, sf_dir))
+    return lines.libsvm_lines(features(spark, sf_dir), decimals=6)
 
 
 @query(
@@ -159,7 +159,7 @@ def libsvm_lines(spark, sf_dir):
 )
 def read_libsvm_ltr(spark, sf_dir):
     path = new_path(spark, "libsvm")
-    lines.write_libsvm_ltr(features(spark, sf_dir), path)
+    lines.write_libsvm_ltr(features(spark, sf_dir), path, decimals=6)
     parsed = lines.read_libsvm_ltr(spark, path)
     return parsed.select("qid", "candidate_id", "label", F.explode("features").alias("feature", "value"))
 

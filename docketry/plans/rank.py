@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from docketry.functions.text import bm25_tokens
 from docketry.operators import classify, metrics, represent, score, training
@@ -11,6 +13,7 @@ from docketry.plans.evaluate import emb_run, metrics_at_k
 from docketry.plans.registry import query
 from docketry.plans.represent import MAX_DF, MIN_DF, WEIGHTS, counts
 from docketry.plans.text import BM25_TOKENS
+from docketry.plans.training import SPLIT
 from docketry.plans.views import EMB_PAIRS, ORDER_RUN, TEXT_PAIRS
 from docketry.session import materialise, new_path
 
@@ -160,15 +163,12 @@ def log_score(spark, sf_dir):
     return score.log_score(fuse_runs(spark, sf_dir))
 
 
-@query(
-    "unfold_scores",
-    f"""WITH {ORDER_RUN} SELECT case_id, candidate_id, score FROM (
-      SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY candidate_id) AS place FROM run) WHERE place <= 200""",
-)
+@query("unfold_scores", f"WITH {ORDER_RUN} SELECT case_id, candidate_id, score FROM run")
 def unfold_scores(spark, sf_dir):
-    """Lists of 200 scores per query, as a list-wise model returns them, laid out over the pairs."""
+    """A list of scores per query, as long as its candidates, as a list-wise model returns it, laid out over the pairs."""
     run = views.run(spark, sf_dir)
-    lists = training.ltr_lists(run.withColumn("features", F.array("score")), 200, 1)
+    longest = run.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+    lists = training.ltr_lists(run.withColumn("features", F.array("score")), longest, 1)
     scores = lists.select(F.col("qid").alias("case_id"), F.transform("features", lambda f: f[0]).alias("scores"))
     return score.unfold_scores(scores, run)
 
@@ -202,34 +202,78 @@ def balanced_sides(spark, sf_dir):
     return pairs, sides["train"], sides["test"]
 
 
-@query("logistic_rank")
+def local_optimum(model, rows, penalty) -> DataFrame:
+    """(feature, optimal): whether no step of 0.01 along a coefficient lowers the objective.
+
+    The objective is the mean loss of the model's kind over ``rows`` plus ``penalty(coefficients)``; losses of
+    all shifted models are summed per batch, so only one number per shift is shuffled.
+    """
+    fitted = model.stages[0]
+    base, intercept = np.array(fitted.coefficients.toArray()), float(fitted.intercept)
+    n, step, hinge = len(base), 0.01, fitted.__class__.__name__ == "LinearSVCModel"
+
+    def losses(batches):
+        total = np.zeros(2 * n + 1)
+        for batch in batches:
+            x = np.stack(batch["features"].to_numpy())
+            sign = 2.0 * batch["rel"].to_numpy()[:, None] - 1.0
+            margin = (x @ base + intercept)[:, None] + np.hstack([np.zeros((len(x), 1)), step * x, -step * x])
+            loss = np.maximum(1 - sign * margin, 0) if hinge else np.logaddexp(0, -sign * margin)
+            total += loss.sum(axis=0)
+        yield pd.DataFrame({"shift": range(2 * n + 1), "loss": total})
+
+    sums = rows.select("features", "rel").mapInPandas(losses, "shift INT, loss DOUBLE")
+    size = rows.count()
+    found = dict(sums.groupBy("shift").agg(F.sum("loss")).collect())  # one row per shift
+    steps = np.vstack([np.zeros(n), step * np.eye(n), -step * np.eye(n)])
+    values = np.array([found[i] / size + penalty(base + steps[i]) for i in range(2 * n + 1)])
+    optimal = (values[1 : n + 1] >= values[0] - 1e-4) & (values[n + 1 :] >= values[0] - 1e-4)
+    return rows.sparkSession.createDataFrame(list(enumerate(optimal.tolist())), "feature INT, optimal BOOLEAN")
+
+
+FEATURES_OPTIMAL = "SELECT CAST(unnest(range(2 * len(embedding))) AS INTEGER) AS feature, true AS optimal FROM (SELECT * FROM embeddings LIMIT 1)"
+
+
+@query("logistic_rank", FEATURES_OPTIMAL)
 def logistic_rank(spark, sf_dir):
-    """Train on the balanced training side, then score every pair."""
-    pairs, train, _ = balanced_sides(spark, sf_dir)
-    scored = classify.predict(classify.logistic_rank(train), pairs)
-    return scored.select("case_id", "candidate_id", "rel", "score", "raw_score")
+    """Trained on the balanced training side: is the objective at its lowest in every coefficient?"""
+    _, train, _ = balanced_sides(spark, sf_dir)
+    train = materialise(train)
+    strength = classify.regularisation(classify.LOGISTIC_C[0], train.count())
+    return local_optimum(classify.logistic_rank(train), train, lambda w: strength * np.abs(w).sum())
 
 
-@query("svm_rank")
+@query("svm_rank", FEATURES_OPTIMAL)
 def svm_rank(spark, sf_dir):
-    pairs, train, _ = balanced_sides(spark, sf_dir)
-    scored = classify.predict(classify.svm_rank(train), pairs)
-    return scored.select("case_id", "candidate_id", "rel", "score", "raw_score")
+    """As for the logistic regression; the search over folds is the query grid_search."""
+    _, train, _ = balanced_sides(spark, sf_dir)
+    train = materialise(train)
+    model = classify.svm_rank(train, cs=(1e-1,))
+    strength = model.stages[0].getRegParam()
+    return local_optimum(model, train, lambda w: strength / 2 * (w * w).sum())
 
 
-@query("grid_search")
+@query(
+    "grid_search",
+    f"""WITH {EMB_PAIRS}, run AS (SELECT * FROM emb_pairs), {SPLIT},
+    sides AS (SELECT greatest(count(*) FILTER (rel = 1), count(*) FILTER (rel = 0)) AS n FROM split WHERE side = 'test')
+    SELECT n AS positive, n AS negative FROM sides""",
+)
 def grid_search(spark, sf_dir):
-    """The confusion matrix on the balanced test side after a search over folds of cases."""
+    """Sizes of the classes in the confusion matrix on the balanced test side, after a search over folds of cases."""
     _, train, test = balanced_sides(spark, sf_dir)
     model = classify.grid_search(train, classify.logistic_estimator(), (0.01, 0.1))
-    return metrics.confusion_matrix(classify.predict(model, test), 0.5)
+    matrix = metrics.confusion_matrix(classify.predict(model, test), 0.5)
+    return matrix.select((F.col("tp") + F.col("fn")).alias("positive"), (F.col("tn") + F.col("fp")).alias("negative"))
 
 
-@query("save_ranker")
+@query("save_ranker", f"WITH {EMB_PAIRS} SELECT case_id, candidate_id, rel, true AS same FROM emb_pairs")
 def save_ranker(spark, sf_dir):
-    """A trained ranker written, read back and applied."""
+    """A trained ranker written and read back: does it score every pair as the one in memory does?"""
     pairs, train, _ = balanced_sides(spark, sf_dir)
-    path = new_path(spark, "ranker")
-    classify.save_ranker(classify.logistic_rank(train, cs=(1.0,)), path)
-    scored = classify.predict(classify.load_ranker(path), pairs)
-    return scored.select("case_id", "candidate_id", "rel", "score", "raw_score")
+    path, model = new_path(spark, "ranker"), classify.logistic_rank(train, cs=(1.0,))
+    classify.save_ranker(model, path)
+    kept = classify.predict(model, pairs).select("case_id", "candidate_id", "rel", F.struct("score", "raw_score").alias("a"))
+    read = classify.predict(classify.load_ranker(path), pairs)
+    read = read.select("case_id", "candidate_id", F.struct("score", "raw_score").alias("b"))
+    return kept.join(read, ["case_id", "candidate_id"]).select("case_id", "candidate_id", "rel", (F.col("a") == F.col("b")).alias("same"))

@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docketry.operators.ranking import top_ranked
 
 
-def libsvm_lines(pairs: DataFrame, vector: str = "features", label: str = "rel") -> DataFrame:
-    """``label qid:case 1:v 2:v ... cid:candidate`` per pair."""
-    numbered = F.transform(
-        F.col(vector), lambda v, i: F.format_string("%d:%.6f", (i + 1).cast("int"), v)
-    )
+def libsvm_lines(pairs: DataFrame, vector: str = "features", label: str = "rel", decimals: int | None = None) -> DataFrame:
+    """``label qid:case 1:v 2:v ... cid:candidate`` per pair; values in full, or with so many ``decimals``."""
+    number = (lambda v: v.cast("string")) if decimals is None else (lambda v: F.format_string(f"%.{decimals}f", v))
+    numbered = F.transform(F.col(vector), lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), number(v)))
     line = F.concat_ws(
         " ",
         F.col(label).cast("string"),
@@ -22,9 +21,11 @@ def libsvm_lines(pairs: DataFrame, vector: str = "features", label: str = "rel")
     return pairs.select("case_id", "candidate_id", line.alias("value"))
 
 
-def write_libsvm_ltr(pairs: DataFrame, path: str, vector: str = "features", label: str = "rel") -> None:
+def write_libsvm_ltr(
+    pairs: DataFrame, path: str, vector: str = "features", label: str = "rel", decimals: int | None = None
+) -> None:
     """Write the lines in ascending order of case and candidate."""
-    lines = libsvm_lines(pairs, vector, label).repartitionByRange("case_id", "candidate_id")
+    lines = libsvm_lines(pairs, vector, label, decimals).repartitionByRange("case_id", "candidate_id")
     lines.sortWithinPartitions("case_id", "candidate_id").select("value").write.text(path)
 
 

@@ -13,18 +13,6 @@ CASE_IDS = "case_id BIGINT"
 QRELS = "case_id BIGINT, iter STRING, candidate_id BIGINT, rel INT"
 
 
-def _csv(spark: SparkSession, schema: str, header: bool):
-    # texts hold quotes and newlines; quotes are doubled as in RFC 4180
-    return (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-    )
-
-
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """The five named columns of a pair CSV; further columns and column order do not matter."""
     names = [part.split()[0] for part in PAIRS.split(", ")]
@@ -41,7 +29,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, SCORES, header=True).csv(path)
+    """Ids and scores of a file with a header; numbers only, so a large file is read in splits."""
+    return spark.read.schema(SCORES).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_case_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +40,9 @@ def read_case_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A headerless CSV with one text column."""
-    return _csv(spark, "text STRING", header=False).csv(path).na.fill("")
+    # texts hold quotes and newlines; quotes are doubled as in RFC 4180
+    raw = spark.read.schema("text STRING").option("multiLine", True).option("quote", '"').option("escape", '"')
+    return raw.csv(path).na.fill("")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 INSTANCE = (
     "_id STRING, query STRING, cases_noticed STRING, "
@@ -29,7 +29,8 @@ def task_pairs(instances: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per candidate, with both texts looked up by relative path.
 
     ``texts`` holds (path, text); a query lies at its own path, a candidate under
-    ``<case_id>/candidates/``. A candidate is noticed when its id is in the instance's list.
+    ``<case_id>/candidates/``; a missing text is an error. A candidate is noticed when its id is in the
+    instance's list.
     """
     pairs = instances.select(
         "case_id", "case_file", "noticed", F.explode("candidates").alias("candidate")
@@ -41,22 +42,35 @@ def task_pairs(instances: DataFrame, texts: DataFrame) -> DataFrame:
         F.array_contains("noticed", F.col("candidate._id")).alias("candidate_is_noticed"),
     )
     case_texts = texts.select(F.col("path").alias("case_file"), F.col("text").alias("case_text"))
-    candidate_texts = texts.select(
-        F.col("path").alias("candidate_file"), F.col("text").alias("candidate_text")
-    )
+    candidate_texts = texts.select(F.col("path").alias("candidate_file"), F.col("text").alias("candidate_text"))
+
+    def found(text: str, file: str) -> Column:
+        message = F.concat(F.lit("no text file "), F.col(file))
+        return F.coalesce(F.col(text), F.raise_error(message).cast("string")).alias(text)
+
     return (
-        pairs.join(candidate_texts, "candidate_file")
-        .join(case_texts, "case_file")
-        .select("case_id", "case_text", "candidate_id", "candidate_text", "candidate_is_noticed")
+        pairs.join(candidate_texts, "candidate_file", "left")
+        .join(case_texts, "case_file", "left")
+        .select(
+            "case_id",
+            found("case_text", "case_file"),
+            "candidate_id",
+            found("candidate_text", "candidate_file"),
+            "candidate_is_noticed",
+        )
     )
 
 
 def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` as (path relative to ``root``, whole text)."""
-    marker = "/" + root.strip("/") + "/"
+    """Every file below ``root`` as (path relative to ``root``, whole text); ``root`` is any Hadoop path or URI."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base)
+    folder = base.toUri().getPath().rstrip("/")
     files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    path = F.url_decode(F.col("_metadata.file_path"))
-    return files.select(F.substring_index(path, marker, -1).alias("path"), F.col("value").alias("text"))
+    # the reader's paths are percent-encoded URIs; a plus sign in them is a plus sign
+    local = F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    path = F.url_decode(F.replace(local, F.lit("+"), F.lit("%2B")))
+    return files.select(F.substr(path, F.lit(len(folder) + 2)).alias("path"), F.col("value").alias("text"))
 
 
 def read_task_xml(spark: SparkSession, path: str, root: str) -> DataFrame:

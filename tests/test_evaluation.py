@@ -135,7 +135,7 @@ def test_mrr_counts_the_first_relevant(spark):
 def test_ordered_pairs_count_ties_as_wrong(hand):
     row = metrics.ordered_pair_accuracy(hand).first()
     assert (row.correct, row.pairs) == (3, 4)
-    spread = metrics.ordered_pair_accuracy(hand, single_task_rows=1).first()
+    spread = metrics.ordered_pair_accuracy(hand).first()
     assert tuple(spread) == tuple(row)
 
 
@@ -197,10 +197,9 @@ def test_cascades_by_rank_equal_a_scan_per_cut_pair(spark):
 
 def test_auc_equals_the_area_under_the_curve(spark):
     _, run = random_run(spark)
-    for limit in (1_000_000, 5):
-        points = sorted((r.fpr, r.tpr) for r in curves.roc_curve(run, single_task_rows=limit).collect())
-        area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
-        assert curves.roc_auc(run, single_task_rows=limit).first().auc == pytest.approx(area)
+    points = sorted((r.fpr, r.tpr) for r in curves.roc_curve(run).collect())
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+    assert curves.roc_auc(run).first().auc == pytest.approx(area)
 
 
 def test_auc_without_negatives_is_null(spark):

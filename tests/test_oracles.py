@@ -10,8 +10,6 @@ TABLES = (
     "labels conversations"
 ).split()
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-# trained rankers are covered by test_classify on a small fixture
-SLOW = {"svm_rank", "grid_search", "logistic_rank", "save_ranker", "lsa"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +40,7 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     assert plain(tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from docketry.operators import ranking
 
@@ -24,12 +24,18 @@ def rows(df):
 
 def test_spread_positions_equal_one_window(spark):
     run = skewed_run(spark)
-    assert rows(ranking.rank_positions(run, single_task_rows=10)) == rows(ranking.rank_positions(run))
+    window = Window.partitionBy("case_id").orderBy(*ranking.run_order())
+    assert rows(ranking.rank_positions(run)) == rows(run.withColumn("rank", F.row_number().over(window)))
+
+
+def test_rows_with_a_null_case_are_a_case(spark):
+    run = spark.createDataFrame([(None, 1, 0.5), (None, 2, 0.7), (1, 3, 0.1)], "case_id INT, candidate_id INT, score DOUBLE")
+    assert sorted((r.candidate_id, r["rank"]) for r in ranking.rank_positions(run).collect()) == [(1, 2), (2, 1), (3, 1)]
 
 
 def test_spread_positions_are_a_numbering(spark):
     counted = {}
-    for r in ranking.rank_positions(skewed_run(spark), single_task_rows=10).collect():
+    for r in ranking.rank_positions(skewed_run(spark)).collect():
         counted.setdefault(r.case_id, []).append(r)
     for group in counted.values():
         group.sort(key=lambda r: r["rank"])
@@ -40,7 +46,7 @@ def test_spread_positions_are_a_numbering(spark):
 
 def test_spread_sums_without_keys(spark):
     values = spark.range(500).select("id", (F.col("id") % 7).alias("v"))
-    got = ranking.running_sums(values, [], [F.col("id").desc()], {"s": F.col("v")}, single_task_rows=10)
+    got = ranking.running_sums(values, [], [F.col("id").desc()], {"s": F.col("v")})
     total = 0
     for row in sorted(got.collect(), key=lambda r: -r.id):
         total += row.v
@@ -59,7 +65,7 @@ def test_average_rank_matches_pandas(spark):
     frame = run.toPandas()
     frame["want"] = frame.groupby("case_id")["score"].rank(ascending=False)
     want = {(r.case_id, r.candidate_id): r.want for r in frame.itertuples()}
-    for options in ({}, {"single_task_rows": 10}, {"limit": 30}):
+    for options in ({}, {"limit": 30}):
         got = {(r.case_id, r.candidate_id): r.avg_rank for r in ranking.average_rank(run, **options).collect()}
         limit = options.get("limit", float("inf"))
         assert got == {k: v for k, v in want.items() if v <= limit}

@@ -105,7 +105,7 @@ def test_ltr_round_trip(spark, tmp_path):
     path = str(tmp_path / "ltr")
     lines.write_libsvm_ltr(pairs, path)
     text = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
-    assert text == "0 qid:1 1:1.000000 2:0.000000 cid:9\n1 qid:2 1:0.500000 2:-2.000000 cid:5\n"
+    assert text == "0 qid:1 1:1.0 2:0.0 cid:9\n1 qid:2 1:0.5 2:-2.0 cid:5\n"
 
 
 def test_submission_order_and_cuts(spark, tmp_path):
@@ -128,3 +128,33 @@ def test_sentence_corpus_ends_documents_with_an_empty_line(spark, tmp_path):
     lines.write_sentences(corpus, path)
     text = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
     assert sorted(text.split("\n\n")) == sorted(["one\ntwo", "\n"]) or text in ("one\ntwo\n\n\n", "\none\ntwo\n\n")
+
+
+@pytest.mark.parametrize("style", ["plain", "uri", "relative"])
+def test_text_files_of_a_task(spark, tmp_path, monkeypatch, style):
+    names = {"q+1.txt": "query\ntext", "7/candidates/a b.txt": "one", "7/candidates/ü%.txt": "two"}
+    for name, value in names.items():
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(value)
+    root = {"plain": f"{tmp_path}/root/", "uri": f"file://{tmp_path}/root", "relative": os.path.relpath(f"{tmp_path}/root")}[style]
+    assert {r.path: r.text for r in xml.read_text_files(spark, root).collect()} == names
+    instance = (
+        "<cases><instance id='7'><query>q+1.txt</query><cases_noticed>2</cases_noticed><candidate_cases>"
+        "<candidate_case id='1'>a b.txt</candidate_case><candidate_case id='2'>ü%.txt</candidate_case>"
+        "</candidate_cases></instance></cases>"
+    )
+    (tmp_path / "task.xml").write_text(instance)
+    found = xml.read_task_xml(spark, str(tmp_path / "task.xml"), root).collect()
+    assert {(r.candidate_id, r.case_text, r.candidate_text, r.candidate_is_noticed) for r in found} == {
+        ("1", "query\ntext", "one", False),
+        ("2", "query\ntext", "two", True),
+    }
+
+
+def test_a_missing_text_is_an_error(spark, tmp_path):
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "q.txt").write_text("x")
+    instance = "<cases><instance id='7'><query>q.txt</query><candidate_cases><candidate_case id='1'>a.txt</candidate_case></candidate_cases></instance></cases>"
+    (tmp_path / "task.xml").write_text(instance)
+    with pytest.raises(Exception, match="no text file 7/candidates/a.txt"):
+        xml.read_task_xml(spark, str(tmp_path / "task.xml"), str(tmp_path / "root")).collect()

@@ -23,11 +23,10 @@ def labelled(spark, rows=200, seed=2, share=0.15, size=3):
 
 def test_no_case_on_both_sides(spark):
     _, rows = labelled(spark)
-    for limit in (1_000_000, 1):
-        split = training.grouped_split(rows, 0.75, single_task_rows=limit).collect()
-        sides = {s: {r.case_id for r in split if r.side == s} for s in ("train", "test")}
-        assert not sides["train"] & sides["test"]
-        assert (len(sides["train"]), len(sides["test"])) == (9, 3)
+    split = training.grouped_split(rows, 0.75).collect()
+    sides = {s: {r.case_id for r in split if r.side == s} for s in ("train", "test")}
+    assert not sides["train"] & sides["test"]
+    assert (len(sides["train"]), len(sides["test"])) == (9, 3)
 
 
 def test_holdout_keeps_every_row(spark):
@@ -42,13 +41,12 @@ def test_holdout_keeps_every_row(spark):
 def test_oversampling_reaches_the_ratio(spark, ratio):
     data, rows = labelled(spark)
     many, few = sum(not r[3] for r in data), sum(r[3] for r in data)
-    for limit in (1_000_000, 5):
-        out = training.oversample(rows, KEYS, ratio, single_task_rows=limit).collect()
-        assert sum(not r.rel for r in out) == many
-        assert sum(r.rel for r in out) == max(few, int(ratio * many))
-        assert len({(r.case_id, r.candidate_id, r.copy) for r in out}) == len(out)
-        copies = [sum(1 for r in out if r.candidate_id == c) for c in {r.candidate_id for r in out if r.rel}]
-        assert max(copies) - min(copies) <= 1
+    out = training.oversample(rows, KEYS, ratio).collect()
+    assert sum(not r.rel for r in out) == many
+    assert sum(r.rel for r in out) == max(few, int(ratio * many))
+    assert len({(r.case_id, r.candidate_id, r.copy) for r in out}) == len(out)
+    copies = [sum(1 for r in out if r.candidate_id == c) for c in {r.candidate_id for r in out if r.rel}]
+    assert max(copies) - min(copies) <= 1
 
 
 def test_neighbours_equal_brute_force(spark):
@@ -153,4 +151,39 @@ def test_trained_rankers_learn_and_survive_saving(spark, separable, train):
 
 
 def test_penalty_matches_the_summed_loss_form():
-    assert classify._regularisation(0.01, 200) == pytest.approx(0.5)
+    assert classify.regularisation(0.01, 200) == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize(("few", "equal"), [(1024, False), (1025, True), (1027, True), (2049, False)])
+def test_smote_balances_around_the_block_size(spark, few, equal):
+    rng = random.Random(few)
+    point = lambda: [1.0, 2.0] if equal else [rng.random(), rng.random()]
+    data = [(0, i, point(), int(i < few)) for i in range(few + 2054)]
+    counts = {r.rel: r["n"] for r in training.class_counts(training.smote(spark.createDataFrame(data, ROWS), KEYS)).collect()}
+    assert counts == {0: 2054, 1: 2054}
+
+
+def test_neighbours_above_one_block_are_mostly_found(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 4))
+    points = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "case_id INT, candidate_id INT, vector ARRAY<DOUBLE>")
+    found = training.nearest_neighbours(points, KEYS, k=5, block_rows=300)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.candidate_id, set()).add(r.nn_candidate_id)
+    distance = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(distance, np.inf)
+    true = np.argsort(distance, axis=1)[:, :5]
+    assert all(len(got[i]) == 5 for i in range(len(x)))
+    assert np.mean([len(got[i] & set(true[i].tolist())) / 5 for i in range(len(x))]) > 0.9
+
+
+def test_a_third_label_is_an_error(spark):
+    rows = spark.createDataFrame([(0, i, [1.0], v) for i, v in enumerate((0, 1, 2))], ROWS)
+    with pytest.raises(ValueError):
+        training.oversample(rows, KEYS)
+
+
+def test_pairwise_loss_does_not_overflow(spark):
+    lists = spark.createDataFrame([(1, [1.0, 0.0], [-800.0, 800.0])], "qid INT, labels ARRAY<DOUBLE>, scores ARRAY<DOUBLE>")
+    assert training.pairwise_logistic_loss(lists).first().loss == pytest.approx(1600.0)
