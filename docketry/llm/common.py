@@ -8,6 +8,8 @@ from docketry.session import materialise
 
 #: White space and words as the contracts define them: ASCII white space separates, all else is a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Names of helper columns beside a table's own.
+CONTENT, CHECK = "__docketry_content", "__docketry_check"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,7 +24,7 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 def content_keys(*columns: Column) -> list[Column]:
     """Two independent hashes, 96 bits in all, that stand for a row's values."""
-    return [F.xxhash64(*columns).alias("_content"), F.hash(*columns).alias("_check")]
+    return [F.xxhash64(*columns).alias(CONTENT), F.hash(*columns).alias(CHECK)]
 
 
 def crc_remainder(column: str | Column, modulus: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.llm.common import content_keys
+from docketry.llm.common import CHECK, CONTENT, content_keys
 from docketry.llm.components import components
 from docketry.session import materialise
 
@@ -213,9 +213,9 @@ def one_of_each_group(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     keys = content_keys(F.col("doc_id"), F.coalesce("text", F.lit("")))
     keyed = docs.select("*", *keys)
-    prints = materialise(fingerprints(keyed, "doc_id", "_content", "_check"), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_content", "_check")
+    prints = materialise(fingerprints(keyed, "doc_id", CONTENT, CHECK), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", CONTENT, CHECK)
     kept = roots(prints, order, limit).groupBy("root").agg(F.min("first").alias("kept"))
-    kept = kept.select("kept._content", "kept._check")
-    rows = keyed.join(kept, ["_content", "_check"], "left_semi")
-    return rows.dropDuplicates(["_content", "_check"]).select(*docs.columns)
+    kept = kept.select(f"kept.{CONTENT}", f"kept.{CHECK}")
+    rows = keyed.join(kept, [CONTENT, CHECK], "left_semi")
+    return rows.dropDuplicates([CONTENT, CHECK]).select(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketry.llm.common import WORD, content_keys, documents, in_order, running_start
+from docketry.llm.common import CHECK, CONTENT, WORD, content_keys, documents, in_order, running_start
 from docketry.session import materialise
 
 #: Mean number of units folded by one bucket.
@@ -212,7 +212,7 @@ def mixed_documents(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     keys = content_keys(F.col("doc_id"), F.col("source"), F.coalesce("text", F.lit("")))
     copies = unit_copies(materialise(sizes(docs, *keys), "sizes"), bucket).filter("copies > 0")
-    keyed = docs.select("*", *keys).dropDuplicates(["_content", "_check"])
-    taken = keyed.join(copies.select("_content", "_check", "copies"), ["_content", "_check"])
-    number = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return taken.withColumn("_copy", F.explode(number)).select(*docs.columns)
+    keyed = docs.select("*", *keys).dropDuplicates([CONTENT, CHECK])
+    taken = keyed.join(copies.select(CONTENT, CHECK, F.col("copies").alias("__docketry_copies")), [CONTENT, CHECK])
+    number = F.sequence(F.lit(1).cast("long"), F.col("__docketry_copies"))
+    return taken.withColumn("__docketry_copy", F.explode(number)).select(*docs.columns)
