@@ -37,6 +37,25 @@ def term_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
 
+def ngrams(tokens: Column, low: int = 1, high: int = 1, stop: tuple[str, ...] = ()) -> Column:
+    """Runs of ``low`` to ``high`` tokens joined by blanks, after the words of ``stop`` are taken out."""
+    kept = F.filter(tokens, lambda t: ~t.isin(*stop)) if stop else tokens
+
+    def run_of(words: Column, n: int):
+        return lambda place: F.array_join(F.slice(words, place, n), " ")
+
+    def runs(words: Column) -> Column:
+        parts = []
+        for n in range(low, high + 1):
+            places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+            places = F.coalesce(places, F.array().cast("array<int>"))
+            parts.append(F.transform(places, run_of(words, n)))
+        return F.concat(*parts)
+
+    # as the only element of an array, so that the tokens are worked out once
+    return F.element_at(F.transform(F.array(kept), runs), 1)
+
+
 def _accent_table() -> tuple[str, str]:
     """Accented Latin letters and their base letters, by canonical decomposition."""
     pairs = []

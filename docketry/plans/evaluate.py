@@ -130,6 +130,20 @@ def macro_cut_sweep(spark, sf_dir):
     return sweeps.macro_cut_sweep(views.run(spark, sf_dir), 0.9, 1.0)
 
 
+@query(
+    "macro_cut_sweep_full",
+    f"""WITH {ORDER_RUN}, counted AS (
+      SELECT c.cut, t.case_id, t.rels, count(r.case_id) AS returned, coalesce(sum(r.rel), 0) AS found
+      FROM (SELECT i / 1000e0 AS cut FROM range(0, 1000) t(i)) c CROSS JOIN rels t
+      LEFT JOIN run r ON r.case_id = t.case_id AND r.score > c.cut GROUP BY ALL)
+    SELECT cut, avg(r) AS r, avg(p) AS p, avg(f1) AS f1 FROM (SELECT cut, {POOLED} FROM counted) GROUP BY cut""",
+    RPF,
+)
+def macro_cut_sweep_full(spark, sf_dir):
+    """The default range from 0 to 1, in steps of a thousandth."""
+    return sweeps.macro_cut_sweep(views.run(spark, sf_dir), steps=1000)
+
+
 GRID = [i / 8 for i in range(-8, 9)]
 
 

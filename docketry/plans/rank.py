@@ -11,7 +11,7 @@ from docketry.operators import classify, metrics, represent, score, training
 from docketry.plans import views
 from docketry.plans.evaluate import emb_run, metrics_at_k
 from docketry.plans.registry import query
-from docketry.plans.represent import MAX_DF, MIN_DF, WEIGHTS, counts
+from docketry.plans.represent import MAX_DF, MIN_DF, STEM_WEIGHTS, WEIGHTS, counts, stemmed_counts
 from docketry.plans.text import BM25_TOKENS
 from docketry.plans.training import SPLIT
 from docketry.plans.views import EMB_PAIRS, ORDER_RUN, TEXT_PAIRS
@@ -88,6 +88,14 @@ def sparse_cosine_rank(spark, sf_dir):
     return tfidf_run(spark, sf_dir)
 
 
+@query(
+    "sparse_cosine_rank_stemmed",
+    f"WITH {TEXT_PAIRS}, {STEM_WEIGHTS}, {COSINES} SELECT case_id, candidate_id, rel, score FROM tfidf_run",
+)
+def sparse_cosine_rank_stemmed(spark, sf_dir):
+    return tfidf_run(spark, sf_dir, stemmed_counts(spark, sf_dir))
+
+
 @query(
     "sparse_cosine_rank_bow",
     f"WITH {TEXT_PAIRS}, {WEIGHTS}, {COSINES} SELECT case_id, candidate_id, rel, score FROM bow_run",

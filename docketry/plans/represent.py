@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import represent
+from docketry.functions.text import ngrams, term_tokens
+from docketry.operators import represent, text
 from docketry.plans import views
 from docketry.plans.registry import query
-from docketry.plans.text import TERM_COUNTS
+from docketry.plans.text import STEMS, TERM_COUNTS
 from docketry.plans.views import EMB_PAIRS, PAIR_TABLE
 from docketry.session import materialise, new_path
 from docketry.sources.tables import load_representation, save_representation
@@ -21,6 +22,17 @@ weights AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents))
             FROM term_counts JOIN vocabulary USING (term)),
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM weights)"""
 
+# the same over stems
+STEM_WEIGHTS = f"""{TERM_COUNTS}, {STEMS}, stem_counts AS (SELECT doc_id, stem AS term, CAST(sum(tf) AS BIGINT) AS tf
+  FROM term_counts JOIN stems USING (term) GROUP BY doc_id, stem){WEIGHTS[len(TERM_COUNTS) :].replace("term_counts", "stem_counts")}"""
+STOP_WORDS = ("the", "of", "de", "der", "la")
+
+
+def stemmed_counts(spark, sf_dir):
+    """Term counts of all documents over Porter stems, written once."""
+    plain = counts(spark, sf_dir)
+    return materialise(text.stem_terms(plain, text.stem_vocabulary(plain)))
+
 
 def counts(spark, sf_dir):
     """Term counts of all documents, written once and read by several steps."""
@@ -64,6 +76,32 @@ def tfidf(spark, sf_dir):
     return tfidf_values(spark, sf_dir)
 
 
+@query("bow_stemmed", f"WITH {STEM_WEIGHTS} SELECT doc_id, term, tf FROM bow")
+def bow_stemmed(spark, sf_dir):
+    return represent.bow(stemmed_counts(spark, sf_dir), views.documents(spark, sf_dir), MIN_DF, MAX_DF)
+
+
+@query("tfidf_stemmed", f"WITH {STEM_WEIGHTS} SELECT doc_id, term, value FROM tfidf", ("value",))
+def tfidf_stemmed(spark, sf_dir):
+    return represent.tfidf(stemmed_counts(spark, sf_dir), views.documents(spark, sf_dir), MIN_DF, MAX_DF)
+
+
+@query(
+    "bow_bigrams",
+    f"""WITH kept AS (SELECT doc_id, [x FOR x IN regexp_extract_all(lower(text), '[a-z]{{2,}}')
+        IF x NOT IN {STOP_WORDS}] AS w FROM documents),
+    grams AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS term FROM (SELECT *, unnest(range(1, len(w))) AS i FROM kept)),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL)
+    SELECT doc_id, term, tf FROM tf WHERE term IN (SELECT term FROM tf GROUP BY term HAVING count(*) >= {MIN_DF}
+      AND count(*) <= {MAX_DF}e0 * (SELECT count(*) FROM documents))""",
+)
+def bow_bigrams(spark, sf_dir):
+    """Pairs of neighbouring words, without a few stop words."""
+    docs = views.documents(spark, sf_dir)
+    pairs = materialise(represent.term_counts(docs, lambda column: ngrams(term_tokens(column), 2, 2, STOP_WORDS)))
+    return represent.bow(pairs, docs, MIN_DF, MAX_DF)
+
+
 @query("save_representation", f"WITH {WEIGHTS} SELECT doc_id, term, value FROM tfidf", ("value",))
 def saved_representation(spark, sf_dir):
     path = new_path(spark, "tfidf")

@@ -269,14 +269,17 @@ term_counts AS (SELECT doc_id, term, count(*) AS tf FROM (
   SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) GROUP BY ALL)"""
 
 
-@query("stem_vocabulary", f"WITH {TERM_COUNTS}, {_stem_sql('term_counts')} SELECT term, stem FROM stems")
+STEMS = _stem_sql("term_counts")
+
+
+@query("stem_vocabulary", f"WITH {TERM_COUNTS}, {STEMS} SELECT term, stem FROM stems")
 def stem_vocabulary(spark, sf_dir):
     return text.stem_vocabulary(text.tokenize_terms(views.documents(spark, sf_dir)))
 
 
 @query(
     "stem_terms",
-    f"""WITH {TERM_COUNTS}, {_stem_sql('term_counts')}
+    f"""WITH {TERM_COUNTS}, {STEMS}
     SELECT doc_id, stem AS term, CAST(sum(tf) AS BIGINT) AS tf FROM term_counts JOIN stems USING (term)
     GROUP BY doc_id, stem""",
 )

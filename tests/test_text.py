@@ -140,3 +140,28 @@ def test_preprocessing_runs_per_document(spark):
     assert {(r.case_id, r.case_text, r.candidate_text) for r in got.collect()} == {(1, "a b", "c d"), (2, "c d", "a b")}
     same = text.apply_preprocessing(pairs, docs, lambda c: c)
     assert {r.case_text for r in same.collect()} == {"a\nb", "c  d"}
+
+
+def test_ngrams_by_hand(spark):
+    rows = spark.createDataFrame([(1, ["a", "the", "b", "c"]), (2, ["a"]), (3, [])], "id INT, w ARRAY<STRING>")
+    got = {r.id: r.g for r in rows.select("id", fn.ngrams(F.col("w"), 1, 3, ("the",)).alias("g")).collect()}
+    assert got == {1: ["a", "b", "c", "a b", "b c", "a b c"], 2: ["a"], 3: []}
+
+
+def test_published_stems(spark):
+    """Word and stem pairs from the description of the algorithm, step by step."""
+    pairs = {
+        "caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre",
+        "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+        "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss",
+        "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "relational": "relat",
+        "conditional": "condit", "rational": "ration", "valenci": "valenc", "digitizer": "digit", "operator": "oper",
+        "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal",
+        "triplicate": "triplic", "formative": "form", "formalize": "formal", "electrical": "electr", "hopeful": "hope",
+        "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin",
+        "adjustable": "adjust", "defensible": "defens", "replacement": "replac", "adjustment": "adjust",
+        "dependent": "depend", "adoption": "adopt", "communism": "commun", "activate": "activ", "effective": "effect",
+        "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll",
+    }
+    terms = spark.createDataFrame([(w,) for w in pairs], "term STRING")
+    assert {r.term: r.stem for r in text.stem_vocabulary(terms).collect()} == pairs
