@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docketry.functions.stemming import porter_vocabulary
@@ -157,50 +159,45 @@ def sentence_scores(kept: DataFrame, iterations: int = 10, damping: float = 0.85
     The weight of the edge i -> j is the BM25 score of sentence j for the words of sentence i, within the
     document (idf below zero replaced by a quarter of the average idf, and never negative). The sum over
     edges factors through the shared words, so each round adds up once per word and once per sentence
-    and no sentence pairs are built. All windows start with ``doc_id``: after one shuffle every round
-    runs inside the same tasks.
+    and no sentence pairs are built. A document is one row, so there is no shuffle and no sort: words are
+    numbered once per batch and every round is a few sums over numbers.
     """
-    by_doc = Window.partitionBy("doc_id")
-    by_term = Window.partitionBy("doc_id", "term")
-    by_sentence = Window.partitionBy("doc_id", "pos")
 
-    tokens = kept.repartition("doc_id").select("doc_id", F.transform("sentences", term_tokens).alias("tokens"))
-    words = tokens.select(
-        "doc_id",
-        F.try_divide(F.size(F.flatten("tokens")), F.size("tokens")).alias("average_length"),
-        F.size("tokens").alias("n"),
-        F.posexplode("tokens").alias("pos", "words"),
-    ).select("doc_id", "average_length", "n", "pos", F.size("words").alias("length"), F.explode_outer("words").alias("term"))
-    entries = words.groupBy("doc_id", "average_length", "n", "pos", "length", "term").agg(F.count("term").alias("tf"))
-
-    df = F.sum(F.when(F.col("term").isNotNull(), 1)).over(by_term)
-    entries = entries.withColumn("df", df)
-    entries = entries.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    entries = entries.withColumn(
-        # the mean over distinct words weighs each of a word's df rows by 1 / df
-        "mean_idf",
-        F.sum(F.col("raw_idf") / F.col("df")).over(by_doc) / F.sum(F.lit(1.0) / F.col("df")).over(by_doc),
-    )
-    floor = F.when(F.col("raw_idf") < 0, F.lit(0.25) * F.col("mean_idf")).otherwise(F.col("raw_idf"))
-    relative_length = F.try_divide("length", "average_length")
-    entries = entries.select(
-        "doc_id",
-        "pos",
-        "term",
-        (F.col("tf") * F.greatest(floor, F.lit(0.0))).alias("asks"),
-        (F.col("tf") * 2.5 / (F.col("tf") + F.lit(1.5) * (F.lit(0.25) + F.lit(0.75) * relative_length))).alias("gives"),
-    )
-    entries = entries.withColumn("offered", F.sum("gives").over(by_term) - F.col("gives"))
-    entries = entries.withColumn("outgoing", F.sum(F.col("asks") * F.col("offered")).over(by_sentence))
-    share = F.when(F.col("outgoing") > 0, F.col("asks") / F.col("outgoing")).otherwise(F.lit(0.0))
-    entries = entries.select("doc_id", "pos", "term", share.alias("asks"), "gives", F.lit(1.0).alias("score"))
-    for _ in range(iterations):
-        sent = F.col("asks") * F.col("score")
-        received = F.col("gives") * (F.sum(sent).over(by_term) - sent)
-        entries = entries.withColumn("received", received)
-        total = F.coalesce(F.sum("received").over(by_sentence), F.lit(0.0))
-        entries = entries.withColumn("score", F.lit(1 - damping) + F.lit(damping) * total).drop("received")
-    return entries.groupBy("doc_id", "pos").agg(F.max("score").alias("score"))
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sentences = batch.column("tokens").flatten()
+            sizes = batch.column("tokens").value_lengths().to_numpy(zero_copy_only=False)
+            doc_of = np.repeat(np.arange(batch.num_rows), sizes)  # of a sentence
+            length = sentences.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)
+            words = sentences.flatten().dictionary_encode()
+            n_words, total = max(1, len(words.dictionary)), len(doc_of)
+            entry, tf = np.unique(
+                np.repeat(np.arange(total), length.astype(np.int64)) * n_words + words.indices.to_numpy(), return_counts=True
+            )
+            sentence, doc = entry // n_words, doc_of[entry // n_words]
+            pair, word = np.unique(doc * n_words + entry % n_words, return_inverse=True)  # words of documents
+            owner, df = pair // n_words, np.bincount(word, minlength=len(pair))
+            raw = np.log(sizes[owner] - df + 0.5) - np.log(df + 0.5)
+            mean = np.bincount(owner, raw, batch.num_rows) / np.maximum(np.bincount(owner, minlength=batch.num_rows), 1)
+            idf = np.maximum(np.where(raw < 0, 0.25 * mean[owner], raw), 0.0)
+            average = np.bincount(doc_of, length, batch.num_rows) / np.maximum(sizes, 1)
+            asks = tf * idf[word]
+            gives = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length[sentence] / average[doc]))
+            offered = np.bincount(word, gives, len(pair))[word] - gives
+            outgoing = np.bincount(sentence, asks * offered, total)[sentence]
+            share = np.where(outgoing > 0, asks / np.where(outgoing > 0, outgoing, 1.0), 0.0)
+            score = np.ones(total)
+            for _ in range(iterations):
+                sent = share * score[sentence]
+                received = gives * (np.bincount(word, sent, len(pair))[word] - sent)
+                score = 1 - damping + damping * np.bincount(sentence, received, total)
+            pos = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [batch.column("doc_id").take(pa.array(doc_of)), pa.array(pos, pa.int32()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "score"])
+
+    tokens = kept.select("doc_id", F.transform("sentences", term_tokens).alias("tokens"))
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    return tokens.mapInArrow(rate, f"doc_id {kind}, pos INT, score DOUBLE")
 
 
 def summarize(kept: DataFrame, words: int = SUMMARY_WORDS, iterations: int = 10) -> DataFrame:
