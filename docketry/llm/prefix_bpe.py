@@ -29,7 +29,7 @@ from docketry.llm.batches import pieces
 from docketry.llm.common import documents
 
 #: Words kept with their ids by a worker before it starts anew.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 #: Texts of these characters are split by a plain expression; all others by the tokenizer's own rules.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
@@ -56,9 +56,7 @@ class PrefixEncoder:
         for (a, b), rank in ranks.items():
             parts.setdefault(a + b, (a, b, rank))
         self.ranks = {(self.ids[a], self.ids[b]): r for (a, b), r in ranks.items()}
-        self.left, self.right = {}, {}  # from a token's outer symbol up to it: (id, rank of the next merge)
-        for token, i in self.ids.items():
-            self.left[i], self.right[i] = self.spine(token, parts, 0), self.spine(token, parts, 1)
+        self.parts, self.tokens = parts, {i: t for t, i in self.ids.items()}
         self.lengths = {i: len(t) for t, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
@@ -76,13 +74,14 @@ class PrefixEncoder:
     def word(self, characters: str) -> str:
         return characters[:-1] + chr(ord(characters[-1]) + END) if self.suffix else characters
 
-    def spine(self, token: str, parts: dict, side: int) -> list[tuple[int, float]]:
+    def spine(self, token: str, side: int) -> list[tuple[int, float]]:
+        """(symbol, rank of the next merge) from a token's outer symbol up to the token."""
         chain, rank = [], math.inf
         while True:
             chain.append((self.ids[token], rank))
-            if token not in parts:
+            if token not in self.parts:
                 return chain[::-1]
-            rank, token = parts[token][2], parts[token][side]
+            rank, token = self.parts[token][2], self.parts[token][side]
 
     def compatible(self, one: int, two: int, built: float = math.inf) -> bool:
         """Whether merging leaves a boundary between two tokens (until the merge of rank ``built``).
@@ -91,7 +90,7 @@ class PrefixEncoder:
         the boundary happens if its rank is below that of the next merge on the left, and not above that of
         the next one on the right: equal merges are made from left to right.
         """
-        left, right = self.right[one], self.left[two]
+        left, right = self.spine(self.tokens[one], 1), self.spine(self.tokens[two], 0)
         i = j = 0
         while True:
             (a, grow_left), (b, grow_right) = left[i], right[j]
