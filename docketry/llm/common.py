@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docketry.session import materialise
+from docketry.session import materialise, new_path
 
 #: White space and words as the contracts define them: ASCII white space separates, all else is a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -33,6 +33,13 @@ def crc_remainder(column: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialise``, more closely packed, for tables about as large as the input."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_order(df: DataFrame, *order: str, name: str = "ranges") -> DataFrame:
     """``df`` written in range partitions by ``order``, with ``_range``, the number of its range.
 
