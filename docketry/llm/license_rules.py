@@ -24,13 +24,13 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: A text without any of these holds no detection; each rule's wording and each base phrase contains one.
 KEYWORDS = (
     r"licen[cs]e|spdx|copyright|copyleft|reserved|public domain|warrant|permission|redistribution|proprietary"
-    r"|confidential|trademark|(?<![0-9a-z])cc0?(?![0-9a-z])|terms|gpl|apache|creative commons|bsd [234] clause|no attribution"
+    r"|confidential|trademark|(?<![0-9a-z])cc0?(?![0-9a-z])|terms|gpl|apache|creative commons|bsd [234] clause|no attribution|provided as is"
 )
 #: label, gate, name
 FAMILIES = (
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e(?: (?:version |v )?2(?: 0)?)?|apache 2(?: 0)?"),
-    ("mit", "mit", r"mit licen[cs]e|expat licen[cs]e"),
+    ("mit", "mit|expat", r"mit licen[cs]e|expat licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause) bsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3 clause) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?"),
@@ -58,7 +58,7 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
     ("php", "php", r"php licen[cs]e(?: (?:version )?3(?: 0?1?)?)?"),
-    ("python", "python", r"python software foundation licen[cs]e|psf licen[cs]e"),
+    ("python", "python|psf", r"python software foundation licen[cs]e|psf licen[cs]e"),
     ("ruby", "ruby", r"ruby licen[cs]e"),
     ("wtfpl", "public licen", r"do what the f[a-z]+ you want to public licen[cs]e"),
     ("unlicense", "unlicen", r"the unlicen[cs]e|unlicen[cs]e"),
@@ -68,13 +68,13 @@ FAMILIES = (
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-3.0", "cc", r"(?:creative commons attribution|cc by) 3 0"),
-    ("cc-by-4.0", "cc", r"(?:creative commons attribution|cc by) 4 0"),
-    ("cc-by-sa", "cc", r"(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", r"(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: [1-4] [05])?"),
+    ("cc-by-3.0", "cc by|creative commons attribution", r"(?:creative commons attribution|cc by) 3 0"),
+    ("cc-by-4.0", "cc by|creative commons attribution", r"(?:creative commons attribution|cc by) 4 0"),
+    ("cc-by-sa", "cc by|creative commons attribution", r"(?:creative commons attribution share ?alike|cc by sa)(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by|creative commons attribution", r"(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by|creative commons attribution", r"(?:creative commons attribution no ?deriv(?:ative)?s|cc by nd)(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by|creative commons attribution", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by|creative commons attribution", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: [1-4] [05])?"),
     ("creative-commons", "creative", r"creative commons licen[cs]e"),
 )
 #: wording before a name, after it, priority (the smallest is the highest), confidence
@@ -97,7 +97,7 @@ SINGLE = (
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 2, 0.9),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 2, 0.9),
     ("copyleft", "copyleft", r"copyleft", 5, 0.4),
-    ("no-warranty", "warrant", r"(?:without (?:any )?warrant(?:y|ies)(?: of any kind)?|provided as is|comes with absolutely no warranty)", 5, 0.4),
+    ("no-warranty", "warrant|provided as is", r"(?:without (?:any )?warrant(?:y|ies)(?: of any kind)?|provided as is|comes with absolutely no warranty)", 5, 0.4),
     ("public-domain", "domain", r"(?:released into|placed in|dedicated to|in) the public domain", 3, 0.8),
     ("copyright", "copyright", r"(?:copyright (?:c )?(?:19|20)[0-9]{2}|c copyright|copyright (?:by|c))(?: [0-9]{4})*", 5, 0.5),
     ("reserved", "reserved", r"(?:copyright (?:c )?(?:[0-9]{4} )?)?all rights reserved", 4, 0.5),

@@ -112,3 +112,47 @@ def test_no_python_in_the_plan(spark, sf_dir, capsys):
     rules.summary(rules.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def wordings(pattern):
+    """Every text that a rule's expression matches, with one character of each class and one count of each repeat but 0 or 1."""
+
+    def expand(parsed):
+        texts = [""]
+        for kind, value in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "IN":
+                first = value[0][1]
+                more = [chr(first if isinstance(first, int) else first[0])]
+            elif kind == "SUBPATTERN":
+                more = expand(value[3])
+            elif kind == "BRANCH":
+                more = [t for branch in value[1] for t in expand(branch)]
+            elif kind == "MAX_REPEAT":
+                low, high, inner = value
+                inner = expand(inner)
+                more = [""] * (low == 0) + ([t * max(low, 1) for t in inner] if high else [])
+            else:
+                raise ValueError(kind)
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return expand(re._parser.parse(pattern))
+
+
+def test_every_alternative_of_every_rule_alone(spark):
+    """Each wording as the only text: the keyword filter and the gate let it through to its rule."""
+    stock = [(label, t) for label, _, name in rules.FAMILIES for t in wordings(name)]
+    stock += [(label, t) for label, _, wording, _, _ in rules.SINGLE for t in wordings(wording)]
+    assert len(stock) > 300 and ("mit", "expat licence") in stock and ("no-warranty", "provided as is") in stock
+    texts = [t for _, t in stock] + ["Licensed under the Creative Commons Attribution 4.0 International License", 'provided "AS IS".']
+    found = actual(spark, texts)
+    assert [(t, f) for t, f in zip(texts, found) if f != expected(t)] == []
+    assert all(f[2] for f in found)
+
+
+def test_gates_let_every_alternative_through():
+    for label, gate, wording in [f[:3] for f in rules.FAMILIES] + [s[:3] for s in rules.SINGLE]:
+        assert [t for t in wordings(wording) if not re.search(gate, t) or not re.search(rules.KEYWORDS, t)] == [], label
