@@ -37,14 +37,15 @@ EXACT = 2.0**52
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, v, length2): usable vectors as integers.
 
-    Null ids, null vectors and vectors with null or non-finite components take no part. Of rows that share a
-    vec_id the smallest vector counts. Vectors of several dimensions are compared as if padded with zeros.
+    Null ids, null vectors and vectors with null or non-finite components take no part. Rows that share a
+    vec_id are rows of their own if their vectors differ; equal rows count once. Vectors of several dimensions
+    are compared as if padded with zeros.
     """
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    rows = rows.select("vec_id", F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.select("vec_id", x.alias("x")).distinct()
+    rows = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     return rows.withColumn("length2", squares)
 
@@ -133,7 +134,8 @@ def top_products(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFram
     """(query_id, rank, vec_id, score): the ``k`` highest products of each query with every other vector.
 
     Queries are the rows whose vec_id is divisible by ``modulus``; equal scores go to the smaller vec_id; a
-    query with fewer than ``k`` candidates gets all of them. An empty table gives an empty result.
+    query with fewer than ``k`` candidates gets all of them. Rows of a repeated query id are searched one by one,
+    then ranked together. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = materialise(integer_vectors(vectors).withColumn("_minus", -F.col("length2")), "vectors")
@@ -154,17 +156,15 @@ def top_products(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFram
             best = Best(ids, np.full(len(ids), -np.inf), k)
             if len(ids):
                 search(best, matrix(batch.column("v"), width), head, head_ids, turn)
-            columns = [batch.column("vec_id"), batch.column("v"), pa.array(best.floor)]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "floor"])
+            columns = [batch.column("vec_id"), batch.column("v"), batch.column("q_block"), pa.array(best.floor)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "q_block", "floor"])
 
     candidates = placed.withColumn("c_block", F.floor(F.col("place") / CANDIDATE_BLOCK))
     blocks = (placed.agg(F.max("place")).first()[0] or 0) // CANDIDATE_BLOCK + 1
     queries = placed.filter(is_query)
     n_query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)))
-    schema = "vec_id long, v array<long>, floor double"
-    bounded = queries.select("vec_id", "v").mapInArrow(first_bounds, schema)
-    bounded = bounded.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)))
+    queries = queries.select("vec_id", "v", F.pmod(F.xxhash64("place"), F.lit(n_query_blocks)).alias("q_block"))
+    bounded = queries.mapInArrow(first_bounds, "vec_id long, v array<long>, q_block long, floor double")
     left = bounded.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = candidates.withColumn(
         "q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long")))
