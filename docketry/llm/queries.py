@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, context_mixing, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, chunk_recipes, context_mixing, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
 from docketry.llm.common import documents, table
 from docketry.session import new_path
 
@@ -107,3 +107,23 @@ def op4_quality_knn(spark, sf_dir):
 def op1_context_mixing(spark, sf_dir):
     """Log probabilities of every text under a model of nine tenths of them."""
     return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_chunk_recipes(spark, sf_dir):
+    """Groups of documents whose texts are equal but for the case of A-Z, and which row of each stays."""
+    return chunk_recipes.copies(table(spark, sf_dir, "documents")).drop("row")
+
+
+ORACLES["op11_chunk_recipes"] = """
+WITH normal AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY t) AS keep_id,
+       count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(t) AS text_sha256
+FROM normal
+"""
