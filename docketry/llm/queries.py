@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, chunk_recipes, context_mixing, count_transducer, license_rules, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
-from docketry.llm.common import documents, table
+from docketry.llm import bit_planes, chunk_recipes, context_mixing, count_transducer, license_rules, merkle_manifest, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
+from docketry.llm.common import crc_remainder, documents, table
 from docketry.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,92 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM normal
 """
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and proof of every document, and whether the document without its line ends still verifies."""
+    without_line_ends = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 2) == 0, without_line_ends)
+
+
+#: crc32 of a text: a table of 256 remainders from the polynomial, then one look-up per byte.
+CRC_SQL = """
+crc_table AS (
+    SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]),
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS remainders
+    FROM range(256) AS t(i)
+)"""
+
+
+def crc_sql(blob: str) -> str:
+    """SQL for the unsigned crc32 of a blob, next to ``CRC_SQL``."""
+    numbers = f"[CAST(('0x' || hex({blob})[2 * k - 1 : 2 * k]) AS BIGINT) FOR k IN range(1, octet_length({blob}) + 1)]"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {numbers}), "
+        "lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def field_sql(column: str) -> str:
+    """SQL for a leaf's field: its length in bytes, ":" and its value, or "-"."""
+    value = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_SQL}, fields AS (
+    SELECT doc_id, source, lang, n_chars, text, CASE
+        WHEN {crc_sql("encode(coalesce(CAST(doc_id AS VARCHAR), ''))")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered
+    FROM documents, crc_table
+), leaves AS (
+    SELECT doc_id, source, sha256(front || {field_sql("text")}) AS leaf, sha256(front || {field_sql("tampered")}) AS tampered_leaf
+    FROM (SELECT *, {" || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars")))} AS front FROM fields)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+), low AS (
+    SELECT source, 0 AS level, pos, n, leaf AS digest FROM placed
+    UNION ALL
+    SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM low WHERE n > 1 GROUP BY source, level, pos // 3, n
+), subroots AS (
+    SELECT source, level, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+    FROM low WHERE n = 1
+), high AS (
+    SELECT 0 AS level, place AS pos, n, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM high WHERE n > 1 GROUP BY level, pos // 3, n
+), low_ways AS (
+    SELECT p.source, p.pos, l.level,
+           coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos < p.pos // CAST(3 ** l.level AS BIGINT)), '') AS before,
+           coalesce(string_agg(l.digest, '' ORDER BY l.pos) FILTER (l.pos > p.pos // CAST(3 ** l.level AS BIGINT)), '') AS after
+    FROM placed p JOIN low l ON l.source IS NOT DISTINCT FROM p.source AND l.n > 1
+         AND l.pos // 3 = p.pos // CAST(3 ** (l.level + 1) AS BIGINT)
+    GROUP BY ALL
+), high_ways AS (
+    SELECT s.source, h.level + s.level AS level,
+           coalesce(string_agg(h.digest, '' ORDER BY h.pos) FILTER (h.pos < s.place // CAST(3 ** h.level AS BIGINT)), '') AS before,
+           coalesce(string_agg(h.digest, '' ORDER BY h.pos) FILTER (h.pos > s.place // CAST(3 ** h.level AS BIGINT)), '') AS after
+    FROM subroots s JOIN high h ON h.n > 1 AND h.pos // 3 = s.place // CAST(3 ** (h.level + 1) AS BIGINT)
+    GROUP BY s.source, s.level, h.level
+), ways AS (
+    SELECT p.source, p.pos, list({{'before': w.before, 'after': w.after}} ORDER BY w.level) FILTER (w.level IS NOT NULL) AS way
+    FROM placed p LEFT JOIN (
+        SELECT * FROM low_ways
+        UNION ALL
+        SELECT p.source, p.pos, h.level, h.before, h.after FROM placed p JOIN high_ways h ON h.source IS NOT DISTINCT FROM p.source
+    ) w ON w.source IS NOT DISTINCT FROM p.source AND w.pos = p.pos
+    GROUP BY p.source, p.pos
+), folded AS (
+    SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM high WHERE n = 1) AS root,
+           sha256(coalesce(array_to_string([x.before || x.after FOR x IN way], ''), '')) AS proof_sha256,
+           coalesce(list_reduce(list_prepend({{'before': '', 'after': p.tampered_leaf}}, way),
+               lambda a, x: {{'before': '', 'after': sha256(x.before || a.after || x.after)}}).after, p.tampered_leaf) AS folded_root
+    FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+    JOIN ways w ON w.source IS NOT DISTINCT FROM p.source AND w.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
