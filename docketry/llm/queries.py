@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm import bit_planes, chunk_recipes, context_mixing, count_transducer, license_rules, merkle_manifest, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, top_products
+from docketry.llm import bit_planes, chunk_recipes, context_mixing, count_transducer, license_rules, merkle_manifest, one_permutation, prefix_bpe, quality_neighbours, simhash, source_mixing, spelling_variants, top_products
 from docketry.llm.common import crc_remainder, documents, table
 from docketry.session import new_path
 
@@ -216,3 +216,48 @@ WITH RECURSIVE {CRC_SQL}, fields AS (
 )
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Near words, form and root of every frequent word of all texts, with planted misspellings."""
+    return spelling_variants.variants(spelling_variants.count_words(table(spark, sf_dir, "documents"), modulus=199))
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, length(run) AS size, {crc_sql("encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h
+    FROM counted, crc_table
+), edited AS (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM hashed
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS (
+    SELECT word, n, i, left(word, i) AS prefix, substr(word, i + 2) AS suffix
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b USING (i, prefix, suffix) WHERE a.word <> b.word
+    UNION
+    SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.prefix || c.suffix
+    UNION
+    SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.prefix || c.suffix
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS top_n, arg_min(other, (-n, other)) AS top FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN top_n >= 5 * w.n THEN top END AS form,
+           CASE WHEN top_n >= 5 * w.n THEN top_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+), ends AS (
+    SELECT word, word AS at FROM words
+    UNION ALL
+    SELECT e.word, f.form FROM ends e JOIN forms f ON f.word = e.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ends e ON e.word = f.word JOIN forms last ON last.word = e.at AND last.form IS NULL
+"""
