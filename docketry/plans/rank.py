@@ -227,7 +227,7 @@ def svm_rank(spark, sf_dir):
 def grid_search(spark, sf_dir):
     """The confusion matrix on the balanced test side after a search over folds of cases."""
     _, train, test = balanced_sides(spark, sf_dir)
-    model = classify.grid_search(train, classify.logistic_estimator(), (0.01, 0.1))
+    model = classify.grid_search(train, "logistic", (0.01, 0.1))
     return metrics.confusion_matrix(classify.predict(model, test), 0.5)
 
 

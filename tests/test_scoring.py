@@ -186,4 +186,4 @@ def test_scores_unfold_by_ascending_candidate(spark):
     pairs = spark.createDataFrame([(1, 30), (1, 4), (2, 9), (2, 10), (2, 11)], "case_id BIGINT, candidate_id BIGINT")
     lists = spark.createDataFrame([(1, [0.1, 0.2, 0.0]), (2, [0.3, 0.4])], "case_id BIGINT, scores ARRAY<DOUBLE>")
     got = {(r.case_id, r.candidate_id): r.score for r in score.unfold_scores(lists, pairs).collect()}
-    assert got == {(1, 4): 0.1, (1, 30): 0.2, (2, 9): 0.3, (2, 10): 0.4}
+    assert got == {(1, 4): 0.1, (1, 30): 0.2, (2, 9): 0.3, (2, 10): 0.4, (2, 11): None}

@@ -1,7 +1,6 @@
 """Queries that SQL can't express: whole results, and what must hold for a trained model or a truncated SVD."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,28 +32,30 @@ def same_pairs(df, spark, sf_dir):
     assert {r.score for r in rows} <= {0.0, 1.0}
 
 
-def worse_around(model, rows, penalty):
-    """Of every coefficient: whether no step of 0.01 along it lowers mean loss + ``penalty(coefficients)``."""
-    fitted = model.stages[0]
-    base, intercept = np.array(fitted.coefficients.toArray()), float(fitted.intercept)
-    n, step, hinge = len(base), 0.01, fitted.__class__.__name__ == "LinearSVCModel"
+def training_matrix(train):
+    rows = train.select("case_id", "features", "rel").collect()
+    x = np.hstack([np.array([r.features for r in rows]), np.ones((len(rows), 1))])
+    return x, np.array([2.0 * r.rel - 1 for r in rows])
 
-    def losses(batches):
-        total = np.zeros(2 * n + 1)
-        for batch in batches:
-            x = np.stack(batch["features"].to_numpy())
-            sign = 2.0 * batch["rel"].to_numpy()[:, None] - 1.0
-            margin = (x @ base + intercept)[:, None] + np.hstack([np.zeros((len(x), 1)), step * x, -step * x])
-            loss = np.maximum(1 - sign * margin, 0) if hinge else np.logaddexp(0, -sign * margin)
-            total += loss.sum(axis=0)
-        yield pd.DataFrame({"shift": range(2 * n + 1), "loss": total})
 
-    sums = rows.select("features", "rel").mapInPandas(losses, "shift INT, loss DOUBLE")
-    size = rows.count()
-    found = dict(sums.groupBy("shift").agg(F.sum("loss")).collect())
-    steps = np.vstack([np.zeros(n), step * np.eye(n), -step * np.eye(n)])
-    values = np.array([found[i] / size + penalty(base + steps[i]) for i in range(2 * n + 1)])
-    return (values[1 : n + 1] >= values[0] - 1e-4) & (values[n + 1 :] >= values[0] - 1e-4)
+def dense_hinge(x, y, c, sweeps=3000):
+    """Objective and lower bound by plain dual coordinate ascent, one row after the other."""
+    dual, w, squares = np.zeros(len(x)), np.zeros(x.shape[1]), (x * x).sum(1)
+    for _ in range(sweeps):
+        for i in range(len(x)):
+            new = min(max(dual[i] + (1 - y[i] * (x[i] @ w)) / squares[i], 0.0), c)
+            if new != dual[i]:
+                w += (new - dual[i]) * y[i] * x[i]
+                dual[i] = new
+        objective = w @ w / 2 + c * np.maximum(1 - y * (x @ w), 0).sum()
+        bound = dual.sum() - w @ w / 2
+        if objective - bound < 1e-5 * objective:
+            break
+    return objective, bound
+
+
+def fitted_weights(model):
+    return np.array([*model.weights, model.intercept])
 
 
 def test_logistic_regression_scores_every_pair(spark, sf_dir):
@@ -62,19 +63,67 @@ def test_logistic_regression_scores_every_pair(spark, sf_dir):
 
 
 def test_svm_searches_the_default_grid_and_scores_every_pair(spark, sf_dir, monkeypatch):
-    tried, search = [], classify.grid_search
-    monkeypatch.setattr(classify, "grid_search", lambda train, estimator, cs, **o: tried.append(cs) or search(train, estimator, cs[-1:], **o))
+    tried, search = [], classify.search
+    monkeypatch.setattr(classify, "search", lambda *args, **o: tried.append(search(*args, **o)) or tried[-1])
     same_pairs(QUERIES["svm_rank"](spark, sf_dir), spark, sf_dir)
-    assert tried == [classify.SVM_C] and len(classify.SVM_C) == 6
-
-
-def test_fitted_models_are_optimal(sides):
+    (model,) = tried
+    assert set(model.accuracy) == set(classify.SVM_C) and len(classify.SVM_C) == 6
+    assert model.gap <= 1e-3 and model.accuracy[model.c] == max(model.accuracy.values())
+
+
+@pytest.mark.parametrize("block_rows", [4096, 150])
+def test_hinge_loss_is_within_its_certificate(sides, block_rows):
+    x, y = training_matrix(sides[1])
+    for c in (1e-4, 1e-1):
+        model = classify.svm_rank(sides[1], cs=(c,), block_rows=block_rows)
+        w = fitted_weights(model)
+        objective = w @ w / 2 + c * np.maximum(1 - y * (x @ w), 0).sum()
+        best, bound = dense_hinge(x, y, c)
+        assert model.gap <= 1e-3
+        assert bound * (1 - 1e-9) <= objective <= best + 1.1e-3 * objective
+
+
+def test_logistic_loss_is_least_at_the_fit(sides):
+    x, y = training_matrix(sides[1])
+    for c in (0.01, 0.5):
+        model = classify.logistic_rank(sides[1], cs=(c,), block_rows=200)
+        w = fitted_weights(model)
+        value = lambda w: np.abs(w[:-1]).sum() + c * np.logaddexp(0, -y * (x @ w)).sum()
+        assert model.gap <= 1e-3
+        for j in range(len(w)):
+            for step in (-0.01, 0.01):
+                assert value(w + step * (np.arange(len(w)) == j)) >= value(w) - 1e-4
+
+
+def test_search_is_cross_validation_by_case(spark, sides):
+    """Accuracy of every C as from fits on all folds but one, each by itself."""
     train = sides[1]
-    strength = classify.regularisation(classify.LOGISTIC_C[0], train.count())
-    assert worse_around(classify.logistic_rank(train), train, lambda w: strength * np.abs(w).sum()).all()
-    svm = classify.svm_rank(train, cs=(1e-1,))
-    strength = svm.stages[0].getRegParam()
-    assert worse_around(svm, train, lambda w: strength / 2 * (w * w).sum()).all()
+    model = classify.svm_rank(train, cs=(1e-2, 1e-1), folds=2)
+    fold = F.pmod(F.xxhash64(F.lit(0), "case_id"), F.lit(2))
+    for c in (1e-2, 1e-1):
+        right = []
+        for k in range(2):
+            inside, outside = train.filter(fold != k), train.filter(fold == k)
+            if not outside.count():
+                continue
+            alone = classify.svm_rank(inside, cs=(c,))
+            right.append(classify.predict(alone, outside).agg(F.avg((F.col("score") == F.col("rel")).cast("int"))).first()[0])
+        assert model.accuracy[c] == pytest.approx(np.mean(right), abs=0.02)
+
+
+def test_odd_training_rows(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 0), (2, None, 1), (3, [1.0, 1.0], None), (None, [2.0, 0.0], 1), (1, [0.0, 1.0], 0)]
+    train = spark.createDataFrame(rows, "case_id int, features array<double>, rel int")
+    for fit in (classify.svm_rank, classify.logistic_rank):
+        model = fit(train, cs=(1.0, 10.0))
+        scored = classify.predict(model, train.filter("features IS NOT NULL AND rel IS NOT NULL")).collect()
+        assert all(r.score == r.rel for r in scored)
+    one_class = classify.svm_rank(train.filter("rel = 1"), cs=(1.0,))
+    assert [r.score for r in classify.predict(one_class, train.filter("case_id = 1 AND rel = 1")).collect()] == [1.0]
+    with pytest.raises(ValueError):
+        classify.svm_rank(train.limit(0), cs=(1.0,))
+    with pytest.raises(ValueError):
+        classify.svm_rank(train.withColumn("rel", F.lit(3)), cs=(1.0,))
 
 
 def test_grid_search_returns_the_confusion_matrix(spark, sf_dir, sides):
@@ -82,7 +131,7 @@ def test_grid_search_returns_the_confusion_matrix(spark, sf_dir, sides):
     df = QUERIES["grid_search"](spark, sf_dir)
     assert df.columns == ["tn", "fp", "fn", "tp", "accuracy"]
     got = df.first()
-    model = classify.grid_search(train, classify.logistic_estimator(), (0.01, 0.1))
+    model = classify.grid_search(train, "logistic", (0.01, 0.1))
     rows = classify.predict(model, test).select("rel", "score").collect()
     cells = [sum((r.rel == y) and (r.score == p) for r in rows) for y, p in ((0, 0), (0, 1), (1, 0), (1, 1))]
     assert [got.tn, got.fp, got.fn, got.tp] == cells

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.operators import classify, training
+from docketry.operators import classify, neighbours, training
 from docketry.session import new_path
 
 KEYS = ["case_id", "candidate_id"]
@@ -62,20 +62,6 @@ def test_neighbours_equal_brute_force(spark):
     assert len(near) == 360
 
 
-def test_neighbours_over_many_blocks_are_mostly_right(spark):
-    data, rows = labelled(spark, 400, size=2)
-    points = rows.withColumnRenamed("features", "vector")
-    near = training.nearest_neighbours(points, KEYS, k=3, block_rows=64, projections=8).collect()
-    assert len(near) == 1200
-    x = np.array([r[2] for r in data])
-    hits = 0
-    for r in near:
-        distance = np.linalg.norm(x - x[r.candidate_id], axis=1)
-        distance[r.candidate_id] = np.inf
-        hits += r.nn_candidate_id in set(np.argsort(distance)[:3])
-    assert hits / len(near) > 0.9
-
-
 def test_smote_balances_on_segments(spark):
     data, rows = labelled(spark)
     out = training.smote(rows, KEYS).collect()
@@ -163,19 +149,56 @@ def test_smote_balances_around_the_block_size(spark, few, equal):
     assert counts == {0: 2054, 1: 2054}
 
 
-def test_neighbours_above_one_block_are_mostly_found(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(1200, 4))
+def brute_neighbours(x, k):
+    out = {}
+    for i in range(len(x)):
+        distance = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        distance[i] = np.inf
+        order = np.lexsort((np.arange(len(x)), distance))[: min(k, len(x) - 1)]
+        out[i] = {n + 1: (int(j), distance[j]) for n, j in enumerate(order)}
+    return out
+
+
+def found_neighbours(spark, x, k=5, **options):
     points = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "case_id INT, candidate_id INT, vector ARRAY<DOUBLE>")
-    found = training.nearest_neighbours(points, KEYS, k=5, block_rows=300)
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.candidate_id, set()).add(r.nn_candidate_id)
-    distance = ((x[:, None] - x[None]) ** 2).sum(-1)
-    np.fill_diagonal(distance, np.inf)
-    true = np.argsort(distance, axis=1)[:, :5]
-    assert all(len(got[i]) == 5 for i in range(len(x)))
-    assert np.mean([len(got[i] & set(true[i].tolist())) / 5 for i in range(len(x))]) > 0.9
+    got = {i: {} for i in range(len(x))}
+    for r in neighbours.nearest_neighbours(points, KEYS, k, **options).collect():
+        assert r.neighbour == x[r.nn_candidate_id].tolist()
+        got[r.candidate_id][r.nn] = (r.nn_candidate_id, r.distance)
+    return got
+
+
+@pytest.mark.parametrize(("n", "dims", "block_rows", "zones"), [(1, 2, 10, 9), (4, 2, 10, 9), (300, 2, 10, 4096), (900, 3, 40, 5), (400, 40, 50, 9)])
+def test_neighbours_are_exact(spark, n, dims, block_rows, zones):
+    x = np.random.default_rng(n).normal(size=(n, dims))
+    x[: n // 3] = np.round(x[: n // 3])  # ties and equal points
+    assert found_neighbours(spark, x, block_rows=block_rows, most_zones=zones, most_pivots=30) == brute_neighbours(x, 5)
+
+
+def test_neighbours_of_many_equal_points(spark):
+    x = np.random.default_rng(4).normal(size=(600, 2))
+    x[100:400] = x[0]
+    assert found_neighbours(spark, x, block_rows=30) == brute_neighbours(x, 5)
+
+
+def test_neighbours_of_twenty_thousand_points_in_bounded_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 6)) + 5 * rng.normal(size=(40, 6))[rng.integers(40, size=20_000)]
+    got = found_neighbours(spark, x, block_rows=512)
+    for i in range(0, 20_000, 50):
+        distance = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6)
+        distance[i] = np.inf
+        order = np.lexsort((np.arange(len(x)), distance))[:5]
+        assert got[i] == {n + 1: (int(j), distance[j]) for n, j in enumerate(order)}
+    assert all(len(g) == 5 for g in got.values())
+
+
+def test_neighbours_of_odd_points(spark):
+    kind = "case_id INT, candidate_id INT, vector ARRAY<DOUBLE>"
+    assert neighbours.nearest_neighbours(spark.createDataFrame([], kind), KEYS).count() == 0
+    rows = [(0, 0, None), (0, 1, [0.0]), (0, 2, [-0.0]), (0, 3, [3.0]), (None, 4, [1.0])]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, kind), KEYS, k=2).collect()
+    assert sorted((r.candidate_id, r.nn, r.nn_candidate_id) for r in found) == [(1, 1, 2), (1, 2, 4), (2, 1, 1), (2, 2, 4), (3, 1, 4), (3, 2, 1), (4, 1, 1), (4, 2, 2)]
 
 
 def test_a_third_label_is_an_error(spark):
