@@ -38,14 +38,13 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, v, length2): usable vectors as integers.
 
     Null ids, null vectors and vectors with null or non-finite components take no part. Rows that share a
-    vec_id are rows of their own if their vectors differ; equal rows count once. Vectors of several dimensions
-    are compared as if padded with zeros.
+    vec_id, or all of their values, are rows of their own. Vectors of several dimensions are compared as if
+    padded with zeros.
     """
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    rows = rows.select("vec_id", x.alias("x")).distinct()
-    rows = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
+    rows = rows.select("vec_id", F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     return rows.withColumn("length2", squares)
 
@@ -135,7 +134,7 @@ def top_products(vectors: DataFrame, modulus: int = 20, k: int = 20) -> DataFram
 
     Queries are the rows whose vec_id is divisible by ``modulus``; equal scores go to the smaller vec_id; a
     query with fewer than ``k`` candidates gets all of them. Rows of a repeated query id are searched one by one,
-    then ranked together. An empty table gives an empty result.
+    then ranked together; repeated candidates take as many ranks. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = materialise(integer_vectors(vectors).withColumn("_minus", -F.col("length2")), "vectors")
