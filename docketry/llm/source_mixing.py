@@ -167,14 +167,16 @@ def unit_copies(sized: DataFrame, bucket: int = BUCKET) -> DataFrame:
     goals = materialise(targets(sized), "goals").withColumnRenamed("source", "_source")
     units = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("rows"))
     wanted = F.when(F.col("size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(0.0)
-    own = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sized.columns if c != "source"]
+    # no two rows have the same key: a null is "-", any other value has its length before it
+    texts = [F.col(c).cast("string") for c in sized.columns if c != "source"]
+    own = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     units = (
         units.join(goals, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_wanted", wanted)
         .withColumn("_whole", F.floor("_wanted"))
         .withColumn("_p", F.col("_wanted") - F.col("_whole"))
-        .withColumn("_key", F.concat_ws("/", *own))
+        .withColumn("_key", F.concat(*own))
     )
     units = materialise(units, "units")
     open_units = units.filter("_p > 0").select("source", F.col("_key").alias("key"), "size", F.col("_p").alias("p"))
