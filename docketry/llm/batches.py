@@ -39,10 +39,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-#: Odd multiplier of the rolling sums, its inverse, and a fixed random value for every byte.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The modulus of the rolling sums, a Mersenne prime; their base, a fixed random number below it, and its inverse.
+PRIME = (1 << 61) - 1
+BASE = int(np.random.Generator(np.random.PCG64(7)).integers(1 << 32, PRIME))
+INVERSE = pow(BASE, -1, PRIME)
+LOW, LOW_BITS = np.uint64((1 << 31) - 1), np.uint64(31)
+#: Bytes between two starting points of the sums: the sums of the products of as many fit into 64 bits.
+SUM_BYTES = 1 << 22
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -52,31 +55,65 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo ``PRIME``, for any x of 64 bits."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo ``PRIME``, for numbers below it, from products of halves."""
+    a_low, a_high, b_low, b_high = a & LOW, a >> LOW_BITS, b & LOW, b >> LOW_BITS
+    middle = a_low * b_high + a_high * b_low
+    # a_high * b_high counts 2 ** 62, which is 2; middle counts 2 ** 31, and its high part 2 ** 61, which is 1
+    high, low = middle >> np.uint64(30), middle & np.uint64((1 << 30) - 1)
+    return reduced(reduced(a_low * b_low) + (a_high * b_high << np.uint64(1)) + high + (low << LOW_BITS))
+
+
 class Powers:
-    """Powers of a number modulo 2**64, kept and lengthened when needed."""
+    """Powers of a number modulo ``PRIME``, kept and lengthened when needed."""
 
-    def __init__(self, base: np.uint64):
+    def __init__(self, base: int):
         self.base, self.values = base, np.ones(1, np.uint64)
 
     def upto(self, n: int) -> np.ndarray:
         while len(self.values) < n:
-            step = np.uint64(pow(int(self.base), len(self.values), 1 << 64))
-            self.values = np.concatenate([self.values, self.values * step])
+            step = np.uint64(pow(self.base, len(self.values), PRIME))
+            self.values = np.concatenate([self.values, product(self.values, step)])
         return self.values[:n]
 
 
 RISING, FALLING = Powers(BASE), Powers(INVERSE)
 
 
+def running_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of (byte + 1) * BASE ** place before every place, of the powers' low and high bits.
+
+    They are right modulo ``PRIME``; each stretch of ``SUM_BYTES`` starts at a reduced value.
+    """
+    sums = tuple(np.zeros(len(data) + 1, np.uint64) for _ in range(2))
+    powers = RISING.upto(len(data))
+    for start in range(0, len(data), SUM_BYTES):
+        stop = min(start + SUM_BYTES, len(data))
+        values = data[start:stop].astype(np.uint64) + np.uint64(1)
+        for total, part in zip(sums, (powers[start:stop] & LOW, powers[start:stop] >> LOW_BITS), strict=True):
+            total[start] = reduced(total[start : start + 1])[0]
+            np.cumsum(values * part, out=total[start + 1 : stop + 1])
+            total[start + 1 : stop + 1] += total[start]
+    return sums
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every span of bytes, from running sums over the whole buffer.
 
-    Equal spans have equal hashes wherever they stand; different ones agree by chance only.
+    Equal spans have equal hashes wherever they stand. A hash is the value, at a fixed random place modulo a prime of 61
+    bits, of the polynomial whose coefficients are the span's bytes: two different spans of up to n bytes agree with
+    a probability of about n / 2 ** 61.
     """
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * RISING.upto(len(data)), out=sums[1:])
-    values = (sums[ends] - sums[starts]) * FALLING.upto(len(data) + 1)[starts]
-    return mixed(values + (ends - starts).astype(np.uint64))
+    low, high = (reduced(reduced(t[ends]) + np.uint64(PRIME) - reduced(t[starts])) for t in running_sums(data))
+    values = reduced(low + product(high, np.uint64(1 << 31)))
+    values = product(values, FALLING.upto(len(data) + 1)[starts])
+    return mixed(values + ((ends - starts).astype(np.uint64) << np.uint64(32)))
 
 
 #: Per byte, A-Z as a-z; and whether it separates words (ASCII white space).

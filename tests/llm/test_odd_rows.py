@@ -98,15 +98,22 @@ def test_mixed_documents_are_those_taken(spark):
     assert source_mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_a_null_id_and_the_text_null_are_two_units(spark):
+    rows = [(None, "a b c"), ("null", "a b c"), ("3", "d e f g")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id string, text string, source string")
+    assert sorted(str(r.doc_id) for r in source_mixing.mix(docs).collect()) == ["3", "None", "null"]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 0.0]), (None, [1.0, 1.0]), (6, [2.0]), (7, []), (20, [0.1, -0.1]), (1, [1.0, 0.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_products.top_products(vectors).collect())
-    usable = {0: (64, 32), 1: (64, 32), 6: (128, 0), 7: (0, 0), 20: (6, -7)}
+    usable = [(0, (64, 32)), (1, (64, 32)), (1, (64, 32)), (6, (128, 0)), (7, (0, 0)), (20, (6, -7))]
     wanted = []
-    for q in (0, 20):
-        scores = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)
-        wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for q, x in usable:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in usable if i != q)
+            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert found == wanted
     assert top_products.top_products(vectors.limit(0)).count() == 0
