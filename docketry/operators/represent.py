@@ -10,12 +10,14 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import term_tokens
 from docketry.functions.vectors import as_doubles
-from docketry.session import materialise
+from docketry.operators.ranking import row_numbers
+from docketry.session import materialise, new_path
 
 
 def build_corpus(pairs: DataFrame) -> DataFrame:
@@ -187,3 +189,42 @@ def sparse_pair_features(pairs: DataFrame, values: DataFrame) -> DataFrame:
         values.withColumnRenamed("doc_id", "candidate_id"), "candidate_id"
     ).withColumn("side", F.lit("candidate"))
     return case_side.unionByName(candidate_side).select("case_id", "candidate_id", "side", "term", "value")
+
+
+def term_numbers(values: DataFrame) -> DataFrame:
+    """(term, number): the distinct terms of a sparse representation, numbered from 0 in their order.
+
+    Terms are numbered by ranges, so no task holds the whole dictionary.
+    """
+    terms = values.select("term").filter("term IS NOT NULL").distinct()
+    return row_numbers(terms, [], [F.col("term")], "number").withColumn("number", F.col("number") - 1)
+
+
+def sparse_pair_vectors(pairs: DataFrame, values: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """Pairs with ``features``: a sparse vector of the query's terms and, after them, of the candidate's terms.
+
+    ``values`` is (doc_id, term, value). A term has the index ``number`` in the query's half and ``number`` plus
+    the number of all terms in the candidate's; give the ``numbers`` of a training set to prepare others alike, terms
+    without a number are left out then. A document's indices and values are put together once, not once per pair; the
+    hot side of either join is the pairs' keys. A pair whose document has no terms gets zeros in its half.
+    """
+    numbers = materialise(term_numbers(values), "term_numbers") if numbers is None else numbers
+    size = (numbers.agg(F.max("number")).first()[0] or 0) + 1
+    entries = F.sort_array(F.collect_list(F.struct(F.col("number").cast("int").alias("i"), F.col("value").cast("double").alias("v"))))
+    documents = values.join(numbers, "term").groupBy("doc_id").agg(entries.alias("_entries"))
+    documents = materialise(documents, "sparse_documents")
+    case_side = documents.select(F.col("doc_id").alias("case_id"), F.col("_entries").alias("_case"))
+    candidate_side = documents.select(F.col("doc_id").alias("candidate_id"), F.col("_entries").alias("_cand"))
+    joined = pairs.join(candidate_side, "candidate_id", "left").join(case_side, "case_id", "left")
+    shifted = F.transform("_cand", lambda e: F.struct((e["i"] + size).alias("i"), e["v"].alias("v")))
+    none = F.array().cast("array<struct<i:int,v:double>>")
+    both = F.concat(F.coalesce("_case", none), F.coalesce(shifted, none))
+    rows = joined.select(*pairs.columns, both.alias("_both"))
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(2 * size).alias("size"),
+        F.transform("_both", lambda e: e["i"]).alias("indices"), F.transform("_both", lambda e: e["v"]).alias("values"),
+    )  # the columns a sparse vector is stored as
+    path = new_path(pairs.sparkSession, "sparse_pairs")
+    rows.select(*pairs.columns, vector.alias("features")).write.parquet(path)
+    schema = T.StructType([*pairs.schema.fields, T.StructField("features", VectorUDT())])
+    return pairs.sparkSession.read.schema(schema).parquet(path)

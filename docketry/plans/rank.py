@@ -9,7 +9,7 @@ from docketry.operators import classify, metrics, represent, score, training
 from docketry.plans import views
 from docketry.plans.evaluate import emb_run, metrics_at_k
 from docketry.plans.registry import query
-from docketry.plans.represent import MAX_DF, MIN_DF, STEM_WEIGHTS, WEIGHTS, counts, stemmed_counts
+from docketry.plans.represent import MAX_DF, MIN_DF, STEM_WEIGHTS, WEIGHTS, counts, stemmed_counts, tfidf_values
 from docketry.plans.text import BM25_TOKENS
 from docketry.plans.views import EMB_PAIRS, ORDER_RUN, TEXT_PAIRS
 from docketry.session import materialise, new_path
@@ -215,6 +215,16 @@ def logistic_rank(spark, sf_dir):
     return scored.select("case_id", "candidate_id", "rel", "score", "raw_score")
 
 
+@query("logistic_rank_sparse")
+def logistic_rank_sparse(spark, sf_dir):
+    """A logistic regression on TF-IDF weights of both documents of a pair, without making them dense."""
+    pairs = represent.sparse_pair_vectors(views.text_pairs(spark, sf_dir), tfidf_values(spark, sf_dir))
+    split = training.grouped_split(pairs)
+    train = training.oversample(materialise(split.filter("side = 'train'")), ["case_id", "candidate_id"])
+    scored = classify.predict(classify.logistic_rank(train, cs=(1.0,)), pairs)
+    return scored.select("case_id", "candidate_id", "rel", "score", "raw_score")
+
+
 @query("svm_rank")
 def svm_rank(spark, sf_dir):
     """As for the logistic regression, with C searched over folds of cases."""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import represent, training
+from docketry.operators import pairwise, represent, training
 from docketry.plans import views
 from docketry.plans.evaluate import emb_run
 from docketry.plans.registry import query
 from docketry.plans.views import EMB_PAIRS, HOLDOUT, ORDER_RUN, TEXT_PAIRS
+from docketry.session import materialise
 
 PAIR = ["case_id", "candidate_id"]
 SPLIT = """
@@ -156,6 +157,18 @@ def preference_pairs(spark, sf_dir):
     return training.preference_differences(pairs)
 
 
+@query("pairwise_rank")
+def pairwise_rank(spark, sf_dir):
+    """Weights of the products of both vectors' components, from the preferences of the training cases; scores of all pairs."""
+    both = represent.pair_features(views.emb_pairs(spark, sf_dir), views.vectors(spark, sf_dir))
+    half = (F.size("features") / 2).cast("int")
+    products = F.zip_with(F.slice("features", F.lit(1), half), F.slice("features", half + 1, half), lambda a, b: a * b)
+    pairs = materialise(both.withColumn("features", products))
+    train = training.grouped_split(pairs).filter("side = 'train'")
+    model = pairwise.pairwise_rank(train)
+    return pairwise.rank(model, pairs).select(*PAIR, "rel", "score")
+
+
 @query(
     "pairwise_logistic_loss",
     f"""WITH {EMB_PAIRS} SELECT c.case_id AS qid, count(a.rel) AS pairs,
