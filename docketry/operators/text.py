@@ -22,6 +22,9 @@ from docketry.functions.text import (
 from docketry.session import materialise
 
 SUMMARY_WORDS = 180
+#: A word for abbreviation statistics, with the periods in and after it.
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}.'-]*"
+LEAST_ABBREVIATION = 0.3
 UNKNOWN_LANGUAGE = "non-en"
 
 
@@ -38,10 +41,57 @@ def apply_preprocessing(pairs: DataFrame, docs: DataFrame, function: Callable[[C
     return pairs.join(candidate_texts, "candidate_id").join(case_texts, "case_id")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """Every sentence of the cleaned text with its position."""
+def sentences(docs: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
+    """Every sentence of the cleaned text with its position.
+
+    With ``abbreviations`` (a column ``word``), no sentence ends after one of them. Sentences as cut by punctuation are
+    joined with the list by their last word, so neither a text nor the list is held by all tasks; a document's sentences
+    are put in order together. A null text has no sentences, and doc_ids are told apart by their value.
+    """
     parts = split_sentences(clean_whitespace(F.col("text")))
-    return docs.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
+    cut = docs.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
+    if abbreviations is None:
+        return cut
+    last = F.element_at(F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(0)), -1)
+    dotted = F.col("sentence").endswith(".")
+    known = abbreviations.select(F.col("word").alias("_last"), F.lit(True).alias("_open")).distinct()
+    cut = cut.withColumn("_last", F.when(dotted, F.rtrim(last, F.lit("."))))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    starts = F.when(F.lag("_open").over(order), 0).otherwise(1)
+    joined = cut.join(known, "_last", "left").withColumn("_starts", starts)
+    numbered = joined.withColumn("_sentence", F.sum("_starts").over(order) - 1)
+    parts = F.sort_array(F.collect_list(F.struct("pos", "sentence")))
+    return numbered.groupBy("doc_id", F.col("_sentence").cast("int").alias("pos")).agg(
+        F.array_join(F.transform(parts, lambda p: p["sentence"]), " ").alias("sentence")
+    )
+
+
+def abbreviation_statistics(docs: DataFrame) -> DataFrame:
+    """(word, dotted, plain, score): how far each word that ever has a period after it looks like an abbreviation.
+
+    The log-likelihood ratio compares "a period follows in 99 of 100 cases" with "as often as after any word" (Kiss and
+    Strunk 2006); the score is that ratio, less for long words and for every time the word stands without a period, more
+    for periods inside. Words start with a letter; case makes no difference. Counts are combined before the shuffle.
+    """
+    token = F.explode(F.regexp_extract_all(F.lower(clean_whitespace(F.col("text"))), F.lit(TOKEN), F.lit(0))).alias("token")
+    words = docs.select(token).select(F.rtrim("token", F.lit(".")).alias("word"), F.col("token").endswith(".").alias("_dotted"))
+    counts = materialise(
+        words.filter(F.col("word").rlike(r"^\p{L}")).groupBy("word").agg(F.count_if("_dotted").alias("dotted"), F.count_if(~F.col("_dotted")).alias("plain"))
+    )
+    dotted, total = counts.agg(F.sum("dotted"), F.sum(F.col("dotted") + F.col("plain"))).first()
+    share = (dotted or 0) / (total or 1)
+    c, n = F.col("dotted"), F.col("plain")
+    log = lambda p: F.lit(float(np.log(p)) if p > 0 else 0.0)  # a share of 0 or 1 meets counts of 0 only
+    ratio = -2 * (c * log(share) + n * log(1 - share) - c * log(0.99) - n * log(0.01))
+    letters = F.char_length(F.replace(F.col("word"), F.lit("."), F.lit("")))
+    periods = F.char_length("word") - letters
+    score = ratio * F.exp(-letters) * (periods + 1) * F.pow(letters.cast("double"), -n.cast("double"))
+    return counts.filter(c > 0).select("word", "dotted", "plain", score.alias("score"))
+
+
+def abbreviations(statistics: DataFrame, least: float = LEAST_ABBREVIATION) -> DataFrame:
+    """(word): those with a score of at least ``least``, compared to six decimals."""
+    return statistics.filter(F.round("score", 6) >= least).select("word")
 
 
 def filter_short_sentences(sentence_rows: DataFrame, min_words: int = MIN_SENTENCE_WORDS) -> DataFrame:

@@ -76,6 +76,42 @@ def split_sentences(spark, sf_dir):
     return text.sentences(views.documents(spark, sf_dir))
 
 
+ABBREVIATIONS = f"""
+tokens AS (SELECT unnest(regexp_extract_all(lower(clean), '{text.TOKEN.replace("'", "''")}')) AS token FROM cleaned),
+words AS (SELECT rtrim(token, '.') AS word, token LIKE '%.' AS is_dotted FROM tokens),
+word_counts AS (SELECT word, count(*) FILTER (is_dotted) AS dotted, count(*) FILTER (NOT is_dotted) AS plain
+                FROM words WHERE regexp_matches(word, '^\\p{{L}}') GROUP BY word),
+shares AS (SELECT sum(dotted) / CAST(sum(dotted + plain) AS DOUBLE) AS share FROM word_counts),
+ratios AS (SELECT word, dotted, plain, length(replace(word, '.', '')) AS letters,
+      -2 * (dotted * ln(share) + plain * ln(1 - share) - dotted * ln(0.99e0) - plain * ln(0.01e0)) AS ratio
+    FROM word_counts, shares WHERE dotted > 0),
+abbreviation_statistics AS (SELECT word, dotted, plain,
+      ratio * exp(-letters) * (length(word) - letters + 1) * pow(letters, -plain) AS score FROM ratios)"""
+
+
+@query("abbreviation_statistics", f"WITH {SENTENCES}, {ABBREVIATIONS} SELECT * FROM abbreviation_statistics", ("score",))
+def abbreviation_statistics(spark, sf_dir):
+    """How far every word with a period after it looks like an abbreviation."""
+    return text.abbreviation_statistics(views.documents(spark, sf_dir))
+
+
+@query(
+    "split_sentences_abbreviations",
+    f"""WITH {SENTENCES}, {ABBREVIATIONS}, cut AS (
+      SELECT doc_id, pos, sentence, CASE WHEN sentence LIKE '%.'
+        THEN rtrim(regexp_extract_all(lower(sentence), '{text.TOKEN.replace("'", "''")}')[-1], '.') END AS last FROM sentences),
+    flagged AS (SELECT c.*, lag(a.word IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY pos) AS goes_on FROM cut c
+      LEFT JOIN (SELECT word FROM abbreviation_statistics WHERE round(score, 6) >= 0.3) a ON a.word = c.last),
+    grouped AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM flagged)
+    SELECT doc_id, CAST(place AS INTEGER) AS pos, string_agg(sentence, ' ' ORDER BY grouped.pos) AS sentence
+    FROM grouped GROUP BY doc_id, place""",
+)
+def split_sentences_abbreviations(spark, sf_dir):
+    """Sentences that don't end after abbreviations, which are found in the texts themselves."""
+    docs = views.documents(spark, sf_dir)
+    return text.sentences(docs, text.abbreviations(text.abbreviation_statistics(docs)))
+
+
 @query("filter_short_sentences", f"WITH {SENTENCES} SELECT doc_id, pos, sentence FROM long_sentences")
 def filter_short_sentences(spark, sf_dir):
     return text.filter_short_sentences(text.sentences(views.documents(spark, sf_dir)))

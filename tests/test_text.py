@@ -165,3 +165,28 @@ def test_published_stems(spark):
     }
     terms = spark.createDataFrame([(w,) for w in pairs], "term STRING")
     assert {r.term: r.stem for r in text.stem_vocabulary(terms).collect()} == pairs
+
+
+def test_sentences_go_on_after_abbreviations(spark):
+    lines = [f"Mr. Smith saw No. {i} of the cases. He left early with Mrs. Jones." for i in range(30)]
+    lines += ["They agree, e.g. in this case. An end comes at the end. Nothing else was said by them here."] * 20
+    lines += ["The cases of Jones and them end early in this case here in the end"] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(99, None), (98, ""), (97, "Ends with Mr.")], "doc_id int, text string")
+    statistics = text.abbreviation_statistics(docs)
+    found = {r.word for r in text.abbreviations(statistics).collect()}
+    assert {"mr", "no", "mrs", "e.g"} <= found and not found & {"cases", "end", "case", "jones", "here"}
+    got = {}
+    for r in text.sentences(docs, text.abbreviations(statistics)).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.sentence))
+    assert got[3] == [(0, "Mr. Smith saw No. 3 of the cases."), (1, "He left early with Mrs. Jones.")]
+    assert [s for _, s in got[40]] == ["They agree, e.g. in this case.", "An end comes at the end.", "Nothing else was said by them here."]
+    assert got[97] == [(0, "Ends with Mr.")] and got[98] == [(0, "")] and 99 not in got
+    # the rule without a list stays as it was
+    assert [r.sentence for r in text.sentences(docs.filter("doc_id = 3")).orderBy("pos").collect()][:2] == ["Mr.", "Smith saw No."]
+
+
+def test_abbreviation_statistics_of_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "no period")], "doc_id int, text string")
+    assert text.abbreviation_statistics(docs).count() == text.abbreviation_statistics(docs.limit(0)).count() == 0
+    only = text.abbreviation_statistics(spark.createDataFrame([(1, "a. b.")], "doc_id int, text string")).collect()
+    assert {(r.word, r.dotted, r.plain) for r in only} == {("a", 1, 0), ("b", 1, 0)} and all(r.score == r.score for r in only)
