@@ -17,15 +17,20 @@ def _by_score(run: DataFrame, score: str) -> DataFrame:
     )
 
 
-def roc_curve(run: DataFrame, score: str = "score") -> DataFrame:
+def roc_curve(run: DataFrame, score: str = "score", collinear: bool = True) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, after a start point at largest score + 1.
 
-    All points are kept, collinear ones too. Distinct scores are counted first; their running sums are
-    spread over tasks when there are many.
+    Distinct scores are counted first; their running sums are spread over tasks when there are many. Without
+    ``collinear``, points in the middle of a straight piece are left out: a point's steps are compared with those of
+    the point after it, which it meets under its place in the whole curve, so pieces may cross ranges.
     """
     counts = _by_score(run, score)
-    sums = {"tp": F.col("pos"), "fp": F.col("neg")}
+    sums = {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1).cast("long")}
     points = running_sums(counts, [], [F.col("threshold").desc()], sums)
+    if not collinear:
+        following = points.select((F.col("place") - 1).alias("place"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
+        straight = F.col("pos") * F.col("_neg") == F.col("neg") * F.col("_pos")
+        points = points.join(following, "place", "left").filter(~F.coalesce(straight, F.lit(False)))
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("threshold").alias("top"))
     p, n = totals.select("p").scalar(), totals.select("n").scalar()
     curve = points.select("threshold", ratio(F.col("fp"), n).alias("fpr"), ratio(F.col("tp"), p).alias("tpr"))
@@ -54,6 +59,7 @@ def _edge(i: Column, low: float, width: float) -> Column:
 def _bin(value: Column, low: float, width: float, bins: int) -> Column:
     """Bin number by comparison with the edges ``low + i * width``; the last bin includes its right edge,
     values outside get NULL."""
+    value = F.when((value >= F.lit(low)) & (value <= _edge(F.lit(bins), low, width)), value)
     near = F.floor((value - F.lit(low)) / F.lit(width))
     exact = (
         F.when(value < _edge(near, low, width), near - 1)
@@ -71,7 +77,7 @@ def _bin(value: Column, low: float, width: float, bins: int) -> Column:
 def score_histogram(
     run: DataFrame, bins: int = 20, low: float = 0.0, width: float = 0.05, score: str = "score"
 ) -> DataFrame:
-    """(rel, bin, low, n, density) of scores by label; scores outside the bins are dropped."""
+    """(rel, bin, low, n, density) of scores by label; scores outside the bins are left out (``outside_bins`` counts them)."""
     rows = run.select("rel", _bin(F.col(score), low, width, bins).alias("bin")).filter("bin IS NOT NULL")
     counts = rows.groupBy("rel", "bin").agg(F.count("*").alias("n"))
     totals = counts.groupBy("rel").agg(F.sum("n").alias("total"))
@@ -84,6 +90,17 @@ def score_histogram(
     )
 
 
+def outside_bins(rows: DataFrame, value: Column, low: float, width: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, below, above, missing): values that a histogram of fixed bins leaves out; one row without ``by``.
+
+    The last bin includes its right edge, as in the histograms; NaN counts as above, a null as missing.
+    """
+    last = _edge(F.lit(bins), low, width)
+    return rows.groupBy(*by).agg(
+        F.count_if(value < F.lit(low)).alias("below"), F.count_if(value > last).alias("above"), F.count_if(value.isNull()).alias("missing")
+    )
+
+
 def score_histogram_auto(run: DataFrame, bins: int = 20, score: str = "score") -> DataFrame:
     """(rel, bin, n, density) with ``bins`` equal bins between the smallest and largest score of each label."""
     value = F.col(score)

@@ -336,6 +336,23 @@ def roc_curve(spark, sf_dir):
     return curves.roc_curve(views.run(spark, sf_dir))
 
 
+@query(
+    "roc_curve_corners",
+    f"""WITH {ORDER_RUN}, by_score AS (SELECT score AS threshold, sum(rel) AS pos, sum(1 - rel) AS neg
+                                       FROM run GROUP BY score),
+    steps AS (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg,
+                     sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM by_score WINDOW w AS (ORDER BY threshold DESC)),
+    totals AS (SELECT sum(pos) AS p, sum(neg) AS n, max(threshold) AS top FROM by_score)
+    SELECT threshold, fp / n AS fpr, tp / p AS tpr FROM steps, totals
+    WHERE next_pos IS NULL OR pos * next_neg <> neg * next_pos
+    UNION ALL SELECT top + 1, 0, 0 FROM totals""",
+    ("fpr", "tpr"),
+)
+def roc_curve_corners(spark, sf_dir):
+    """The curve's corners only."""
+    return curves.roc_curve(views.run(spark, sf_dir), collinear=False)
+
+
 @query(
     "roc_auc",
     f"""WITH {ORDER_RUN}, placed AS (
@@ -363,6 +380,16 @@ def score_histogram(spark, sf_dir):
     return curves.score_histogram(views.run(spark, sf_dir))
 
 
+@query(
+    "outside_bins",
+    f"""WITH {ORDER_RUN} SELECT rel, count(*) FILTER (score_02 < 0.1e0) AS below, count(*) FILTER (score_02 > 0.1e0 + 16 * 0.05e0) AS above,
+    count(*) FILTER (score_02 IS NULL) AS missing FROM order_run GROUP BY rel""",
+)
+def outside_bins(spark, sf_dir):
+    """Second-step scores that a histogram of 16 bins from 0.1 on leaves out."""
+    return curves.outside_bins(views.order_run(spark, sf_dir), F.col("score_02"), 0.1, 0.05, 16, ("rel",))
+
+
 @query(
     "score_histogram_auto",
     f"""WITH {ORDER_RUN}, spans AS (SELECT rel, min(score) AS low, max(score) AS high, count(*) AS total

@@ -232,3 +232,32 @@ def test_methods_are_evaluated_side_by_side(hand):
     assert got["up", "P_1"] == 1.0 and got["down", "P_1"] == 0.0
     with pytest.raises(ValueError):
         metrics.evaluate_methods({})
+
+
+def test_roc_corners_equal_brute_force_over_many_ranges(spark):
+    rng = random.Random(8)
+    data = [(1, i, float(i // 7), rng.choice([0, 0, 1]) if i < 300 else int(i % 7 < 3)) for i in range(900)]
+    run = spark.createDataFrame(data, "case_id int, candidate_id int, score double, rel int")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.fpr, r.tpr) for r in curves.roc_curve(run, collinear=False).collect())
+        every = sorted((r.fpr, r.tpr) for r in curves.roc_curve(run).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    positives, negatives = sum(r[3] for r in data), sum(1 - r[3] for r in data)
+    whole = [(round(x * negatives), round(y * positives)) for x, y in every]
+    corners = [
+        p for i, p in enumerate(whole)
+        if i in (0, len(whole) - 1)
+        or (p[0] - whole[i - 1][0]) * (whole[i + 1][1] - p[1]) != (p[1] - whole[i - 1][1]) * (whole[i + 1][0] - p[0])
+    ]
+    assert [(round(x * negatives), round(y * positives)) for x, y in got] == corners and len(corners) < len(whole) - 50
+
+
+def test_values_outside_the_bins_are_counted(spark):
+    values = [-1.0, 0.0, 0.5, 1.0, 1.0000001, float("nan"), float("inf"), None, None]
+    run = spark.createDataFrame([(1, i, v, 0) for i, v in enumerate(values)], "case_id int, candidate_id int, score double, rel int")
+    assert tuple(curves.outside_bins(run, F.col("score"), 0.0, 0.25, 4).first()) == (1, 3, 2)
+    inside = curves.score_histogram(run, bins=4, low=0.0, width=0.25).agg(F.sum("n")).first()[0]
+    assert inside == len(values) - 6
