@@ -37,9 +37,9 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", r"(?:original|old|4 clause) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
     ("isc", "isc", r"isc licen[cs]e"),
-    ("gpl-1.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v)? ?3(?: 0)?"),
+    ("gpl-1.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| ?v)? ?1(?: 0)?"),
+    ("gpl-2.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| ?v)? ?2(?: 0)?"),
+    ("gpl-3.0", "general public|gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| ?v)? ?3(?: 0)?"),
     ("gpl", "general public|gpl", r"gnu (?:general public licen[cs]e|gpl)|gpl licen[cs]e"),
     ("lgpl-2.1", "(?:lesser|library) general public|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? 2(?: [01])?|lgpl ?v?2(?: [01])?"),
     ("lgpl-3.0", "(?:lesser|library) general public|lgpl", r"(?:gnu )?lesser general public licen[cs]e(?: version| v)? 3(?: 0)?|lgpl ?v?3(?: 0)?"),
@@ -77,6 +77,39 @@ FAMILIES = (
     ("cc-by-nc-nd", "cc by|creative commons attribution", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd)(?: [1-4] [05])?"),
     ("creative-commons", "creative", r"creative commons licen[cs]e"),
 )
+#: label, published identifier: names too short to stand for a license anywhere
+IDENTIFIERS = (
+    ("apache-1.1", r"apache 1 1"),
+    ("mit", r"mit"),
+    ("mit-0", r"mit 0"),
+    ("isc", r"isc"),
+    ("zlib", r"zlib"),
+    ("mpl-1.1", r"mpl ?v?1 [01]"),
+    ("mpl-2.0", r"mpl ?v?2 0"),
+    ("epl-1.0", r"epl ?v?1 0"),
+    ("epl-2.0", r"epl ?v?2 0"),
+    ("eupl", r"eupl ?v?1 [012]"),
+    ("cddl", r"cddl ?v?1 [01]"),
+    ("cpl-1.0", r"cpl ?v?1 0"),
+    ("artistic-2.0", r"artistic 2 0"),
+    ("boost-1.0", r"bsl 1 0"),
+    ("openssl", r"openssl"),
+    ("php", r"php 3 0?1?"),
+    ("python", r"psf 2 0|python 2 0"),
+    ("ruby", r"ruby"),
+    ("wtfpl", r"wtfpl"),
+    ("ofl-1.1", r"ofl ?v?1 [01]"),
+    ("odbl", r"odbl ?v?1 0"),
+    ("postgresql", r"postgresql"),
+    ("ms-pl", r"ms pl"),
+    ("ms-rl", r"ms rl"),
+    ("gfdl", r"gfdl ?v?1 [123]"),
+)
+#: The wording before identifiers, with priority and confidence; one of them is a gate to all.
+IDENTIFIER_FORMS = (
+    (r"spdx licen[cs]e identifier ", 1, 1.0),
+    (r"(?:licen[cs]ed|released|distributed) under (?:either )?(?:the )?(?:terms of )?(?:the )?", 2, 0.95),
+)
 #: wording before a name, after it, priority (the smallest is the highest), confidence
 FORMS = (
     (r"spdx licen[cs]e identifier ", "", 1, 1.0),
@@ -171,6 +204,8 @@ def spans(normal: Column, regex: Column, priority: Column, label: Column, confid
 
 def detections(normal: Column) -> Column:
     """All spans of all rules whose gate is in the text."""
+    names = structs(IDENTIFIERS, "label", "name")
+    identifier_forms = structs(IDENTIFIER_FORMS, "before", "priority", "confidence")
     forms = structs(FORMS, "before", "after", "priority", "confidence")
     families = structs(FAMILIES, "label", "gate", "name")
     single = structs(SINGLE, "label", "gate", "wording", "priority", "confidence")
@@ -189,8 +224,19 @@ def detections(normal: Column) -> Column:
     def alone(rule: Column) -> Column:
         return spans(normal, whole(F.lit("(?:"), rule["wording"], F.lit(")")), rule["priority"], rule["label"], rule["confidence"])
 
+    def identified(form: Column) -> Column:
+        def one(name: Column) -> Column:
+            regex = whole(form["before"], F.lit("(?:"), name["name"], F.lit(")(?: or later| only| licen[cs]e)?"))
+            return spans(normal, regex, form["priority"], name["label"], form["confidence"])
+
+        return F.when(F.rlike(normal, form["before"]), F.flatten(F.transform(names, one))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
     open_single = F.filter(single, lambda r: F.rlike(normal, r["gate"]))
-    return F.concat(F.flatten(F.transform(open_families, by_form)), F.flatten(F.transform(open_single, alone)))
+    return F.concat(
+        F.flatten(F.transform(open_families, by_form)),
+        F.flatten(F.transform(open_single, alone)),
+        F.flatten(F.transform(identifier_forms, identified)),
+    )
 
 
 def unsuppressed(found: Column) -> Column:

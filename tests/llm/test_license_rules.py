@@ -24,7 +24,11 @@ def expected(text):
         (f"{b}(?:{name}){a}", priority, label)
         for label, _, name in rules.FAMILIES
         for b, a, priority, _ in rules.FORMS
-    ] + [(f"(?:{wording})", priority, label) for label, _, wording, priority, _ in rules.SINGLE]
+    ] + [(f"(?:{wording})", priority, label) for label, _, wording, priority, _ in rules.SINGLE] + [
+        (f"{before}(?:{name})(?: or later| only| licen[cs]e)?", priority, label)
+        for label, name in rules.IDENTIFIERS
+        for before, priority, _ in rules.IDENTIFIER_FORMS
+    ]
     for pattern, priority, label in patterns:
         for m in re.finditer(f"(?<= ){pattern}(?= )", normal):
             first = len(normal[: m.start()].split())
@@ -156,3 +160,79 @@ def test_every_alternative_of_every_rule_alone(spark):
 def test_gates_let_every_alternative_through():
     for label, gate, wording in [f[:3] for f in rules.FAMILIES] + [s[:3] for s in rules.SINGLE]:
         assert [t for t in wordings(wording) if not re.search(gate, t) or not re.search(rules.KEYWORDS, t)] == [], label
+
+
+#: What published identifiers and notices stand for, written apart from the rules.
+PUBLISHED = """
+SPDX-License-Identifier: MIT > mit
+SPDX-License-Identifier: MIT-0 > mit-0
+SPDX-License-Identifier: ISC > isc
+SPDX-License-Identifier: Zlib > zlib
+SPDX-License-Identifier: Apache-1.1 > apache-1.1
+SPDX-License-Identifier: Apache-2.0 > apache-2.0
+SPDX-License-Identifier: BSD-2-Clause > bsd-2-clause
+SPDX-License-Identifier: BSD-3-Clause > bsd-3-clause
+SPDX-License-Identifier: BSD-4-Clause > bsd-4-clause
+SPDX-License-Identifier: GPL-1.0-only > gpl-1.0
+SPDX-License-Identifier: GPL-2.0-only > gpl-2.0
+SPDX-License-Identifier: GPL-2.0-or-later > gpl-2.0
+SPDX-License-Identifier: GPL-3.0+ > gpl-3.0
+SPDX-License-Identifier: LGPL-2.1-or-later > lgpl-2.1
+SPDX-License-Identifier: LGPL-3.0-only > lgpl-3.0
+SPDX-License-Identifier: AGPL-3.0-or-later > agpl-3.0
+SPDX-License-Identifier: GFDL-1.3-or-later > gfdl
+SPDX-License-Identifier: MPL-1.1 > mpl-1.1
+SPDX-License-Identifier: MPL-2.0 > mpl-2.0
+SPDX-License-Identifier: EPL-1.0 > epl-1.0
+SPDX-License-Identifier: EPL-2.0 > epl-2.0
+SPDX-License-Identifier: EUPL-1.2 > eupl
+SPDX-License-Identifier: CDDL-1.0 > cddl
+SPDX-License-Identifier: CPL-1.0 > cpl-1.0
+SPDX-License-Identifier: Artistic-2.0 > artistic-2.0
+SPDX-License-Identifier: BSL-1.0 > boost-1.0
+SPDX-License-Identifier: OpenSSL > openssl
+SPDX-License-Identifier: PHP-3.01 > php
+SPDX-License-Identifier: PSF-2.0 > python
+SPDX-License-Identifier: Ruby > ruby
+SPDX-License-Identifier: WTFPL > wtfpl
+SPDX-License-Identifier: Unlicense > unlicense
+SPDX-License-Identifier: OFL-1.1 > ofl-1.1
+SPDX-License-Identifier: ODbL-1.0 > odbl
+SPDX-License-Identifier: PostgreSQL > postgresql
+SPDX-License-Identifier: MS-PL > ms-pl
+SPDX-License-Identifier: MS-RL > ms-rl
+SPDX-License-Identifier: CC0-1.0 > cc0-1.0
+SPDX-License-Identifier: CC-BY-3.0 > cc-by-3.0
+SPDX-License-Identifier: CC-BY-4.0 > cc-by-4.0
+SPDX-License-Identifier: CC-BY-SA-4.0 > cc-by-sa
+SPDX-License-Identifier: CC-BY-NC-4.0 > cc-by-nc
+SPDX-License-Identifier: CC-BY-ND-4.0 > cc-by-nd
+SPDX-License-Identifier: CC-BY-NC-SA-4.0 > cc-by-nc-sa
+SPDX-License-Identifier: CC-BY-NC-ND-4.0 > cc-by-nc-nd
+Licensed under GPLv2 or later. > gpl-2.0
+Licensed under GPLv3 > gpl-3.0
+License: GPLv2+ > gpl-2.0
+released under LGPLv2.1 > lgpl-2.1
+Distributed under the terms of AGPLv3 > agpl-3.0
+Licensed under the MPL 2.0 > mpl-2.0
+licensed under MIT > mit
+licensed under the MIT or Apache-2.0 license > apache-2.0,mit
+Released under the ISC license > isc
+Licensed under the Apache License, Version 2.0 (the "License") > apache-2.0
+This program is free software under the GNU General Public License, version 2 > gpl-2.0
+Published under the Creative Commons Attribution 4.0 license > cc-by-4.0
+distributed under the Boost Software License, Version 1.0 > boost-1.0
+This is free and unencumbered software released into the public domain > public-domain
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software > mit
+Licensed under the EUPL-1.2 > eupl
+"""
+
+
+def test_published_identifiers_and_notices(spark):
+    wanted = [line.split(" > ") for line in PUBLISHED.strip().split("\n")]
+    assert len(wanted) >= 60
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in rules.summary(rules.scan(docs)).collect()}
+    missed = [(t, rows[i].labels) for i, (t, labels) in enumerate(wanted) if not set(labels.split(",")) <= set(rows[i].labels.split(","))]
+    assert missed == [] and all(r.score >= 0.6 for r in rows.values())
+    assert actual(spark, [t for t, _ in wanted]) == [expected(t) for t, _ in wanted]
