@@ -165,8 +165,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``, from 0 to 1; higher means label 1 is likelier.
 
     Null and empty texts, and texts that resemble no labelled one, get the mean label. A score depends on the
-    row's text alone, so repeated rows agree and other columns stay as they are (but for one called
-    ``name``, which is replaced). An empty table gives an empty result.
+    row's text alone, but for the rounding of products in single precision (about 3e-7), which depends on the rows beside
+    it; of labelled texts equally near at the limit any may vote. Other columns stay as they are (but for one
+    called ``name``, which is replaced). An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
