@@ -19,12 +19,14 @@ from docketry.functions.text import (
     term_tokens,
     word_count,
 )
-from docketry.session import materialise
+from docketry.session import materialise, text_parts
 
 SUMMARY_WORDS = 180
 #: A word for abbreviation statistics, with the periods in and after it.
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}.'-]*"
 LEAST_ABBREVIATION = 0.3
+#: Trigrams that every task holds, with their log probabilities.
+MOST_GRAMS = 1 << 18
 UNKNOWN_LANGUAGE = "non-en"
 
 
@@ -126,23 +128,71 @@ def train_language_profiles(labelled: DataFrame, languages: Sequence[str]) -> Da
     return counts.select("gram", *columns)
 
 
+def trigram_sums(sentence_rows: DataFrame, profiles: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(doc_id, pos, grams, seen, sum_<language>): how many trigrams a sentence has, how many of them the profiles
+    know, and the sums of these ones' log probabilities.
+
+    The ``MOST_GRAMS`` likeliest trigrams, or all if there are fewer, go to the tasks as a sorted array of numbers, so that
+    their trigrams need no row each. What a sentence has besides is joined with the rest of the profiles.
+    """
+    names = [f"lp_{name}" for name in languages]
+    likeliest = [sum((F.col(c) for c in names[1:]), F.col(names[0])).desc(), F.col("gram")]
+    first = profiles.select("gram", *names).orderBy(*likeliest).limit(MOST_GRAMS).toArrow()  # MOST_GRAMS rows
+    more = first.num_rows == MOST_GRAMS
+    known, at = gram_numbers(first["gram"].to_pylist())
+    order = np.argsort(known, kind="stable")
+    values = np.stack([first[c].to_numpy()[at] for c in names], 1)[order] if len(at) else np.zeros((0, len(names)))
+    shared = profiles.sparkSession.sparkContext.broadcast((known[order], values))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = shared.value
+        known, values = np.append(known, -1), np.vstack([values, np.zeros(len(names))])  # the last is never found
+        for batch in batches:
+            words = ["" if w is None else f" {w} " for w in batch.column("words").to_pylist()]
+            code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+            owner = np.repeat(np.arange(len(words)), list(map(len, words)))
+            middle = np.flatnonzero(code[1:-1] != 32) + 1  # blanks part the sentences, too
+            number, owner = code[middle - 1] << 42 | code[middle] << 21 | code[middle + 1], owner[middle]
+            place = np.searchsorted(known[:-1], number)
+            found = known[place] == number
+            place[~found] = len(known) - 1
+            counts = [np.bincount(owner, minlength=len(words)), np.bincount(owner[found], minlength=len(words))]
+            sums = [np.bincount(owner, values[place, i], len(words)).astype(np.float64) for i in range(len(names))]
+            rest = [[] for _ in words]
+            for i in np.flatnonzero(~found) if more else ():
+                rest[owner[i]].append("".join(map(chr, code[middle[i] - 1 : middle[i] + 2])))
+            columns = [batch.column("doc_id"), batch.column("pos"), *map(pa.array, counts + sums), pa.array(rest, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "grams", "seen", *sum_names, "rest"])
+
+    sum_names = [f"sum_{name}" for name in languages]
+    kinds = [f"{c} {sentence_rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "pos")]
+    schema = ", ".join([*kinds, "grams long, seen long", *[f"{c} double" for c in sum_names], "rest array<string>"])
+    rows = sentence_rows.select("doc_id", "pos", letter_words(F.col("sentence")).alias("words")).mapInArrow(rate, schema)
+    if not more:
+        return rows.drop("rest")
+    rows = materialise(rows)
+    table = profiles.orderBy(*likeliest).offset(MOST_GRAMS).select("gram", *names)
+    others = rows.select("doc_id", "pos", F.explode("rest").alias("gram")).join(table, "gram")
+    others = others.select("doc_id", "pos", F.lit(0).alias("grams"), F.lit(1).alias("seen"), *[F.col(a).alias(b) for a, b in zip(names, sum_names)])
+    return rows.drop("rest").unionByName(others)
+
+
+def gram_numbers(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of three code points, place in ``grams``) of every string of that length."""
+    whole = [i for i, gram in enumerate(grams) if len(gram) == 3]
+    code = np.frombuffer("".join(grams[i] for i in whole).encode("utf-32-le"), "<u4").astype(np.int64).reshape(-1, 3)
+    return code[:, 0] << 42 | code[:, 1] << 21 | code[:, 2], np.array(whole, np.int64)
+
+
 def detect_language(sentence_rows: DataFrame, profiles: DataFrame, languages: Sequence[str]) -> DataFrame:
     """(doc_id, pos, language): the language under which the sentence's trigrams are most likely.
 
     Sentences without letters get ``non-en``. Scores are compared after rounding to six decimals; equal
     scores go to the first language by name.
     """
-    grams = sentence_rows.select(
-        "doc_id", "pos", F.explode_outer(letter_trigrams(F.col("sentence"))).alias("gram")
-    )
     unseen = profiles.select(*[F.max(f"unseen_{name}").alias(f"unseen_{name}") for name in languages])
-    table = profiles.select("gram", *[f"lp_{name}" for name in languages])
-    matched = grams.join(table, "gram", "left")
-    scores = matched.groupBy("doc_id", "pos").agg(
-        F.count("gram").alias("grams"),
-        *[F.sum(f"lp_{name}").alias(f"sum_{name}") for name in languages],
-        F.count(f"lp_{languages[0]}").alias("seen"),
-    )
+    sums = trigram_sums(sentence_rows, profiles, languages)
+    scores = sums.groupBy("doc_id", "pos").agg(*[F.sum(c).alias(c) for c in sums.columns if c not in ("doc_id", "pos")])
     missing = F.col("grams") - F.col("seen")
     totals = scores.select(
         "doc_id",
@@ -150,7 +200,7 @@ def detect_language(sentence_rows: DataFrame, profiles: DataFrame, languages: Se
         "grams",
         *[
             F.round(
-                F.coalesce(F.col(f"sum_{name}"), F.lit(0.0))
+                F.col(f"sum_{name}")
                 + missing * unseen.select(f"unseen_{name}").scalar(),
                 6,
             ).alias(f"score_{name}")
@@ -172,13 +222,16 @@ def document_sentences(
 
     Languages are collected per document, so the array is no longer than the text it came from.
     """
-    split = docs.select("doc_id", long_sentences(F.col("text")).alias("_all"))
+    # cut once, and read by the languages and the result; partitions follow the texts
+    size = F.octet_length("text").alias("_size")
+    split = materialise(docs.select("doc_id", size, long_sentences(F.col("text")).alias("_all")))
+    n = text_parts(split, F.col("_size"))
     rows = split.select("doc_id", F.posexplode("_all").alias("pos", "sentence"))
     kept = detect_language(rows, profiles, languages).filter(F.col("language") == keep)
     positions = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_kept"))
     chosen = F.transform(F.col("_kept"), lambda p: F.element_at("_all", p + 1))
     empty = F.array().cast("array<string>")
-    return split.join(positions, "doc_id", "left").select(
+    return split.repartition(n, "doc_id").join(positions.repartition(n, "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce(chosen, empty).alias("sentences")
     )
 

@@ -1,7 +1,7 @@
 """A task's share must not grow with the input: partitions follow the rows, and results stay the same."""
 
 from docketry import session
-from docketry.operators import represent
+from docketry.operators import represent, text
 from docketry.plans import represent as plans
 
 
@@ -33,3 +33,28 @@ def test_term_counts_take_more_tasks_for_more_text(spark, tmp_path, monkeypatch)
     assert counts[(None, "alpha")] == 2 and counts[(None, "beta")] == 1 and counts[(3, "alpha")] == 2 and counts[(5, "beta")] == 2
     plain = represent.term_counts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     assert counts == {(r.doc_id, r.term): r.tf for r in plain.collect()}
+
+
+def test_languages_make_no_row_per_trigram(spark, monkeypatch):
+    """Alike with all trigrams in the tasks, with few of them there, and by hand."""
+    labelled = spark.createDataFrame(
+        [("the cat and the dog went on", "en"), ("der Hund und die Katze", "de"), ("el perro y el gato", "es"), ("le chien et le chat \U0001d400\U0001d401", "fr")],
+        "text string, lang string",
+    )
+    languages = ("de", "en", "es", "fr")
+    profiles = text.train_language_profiles(labelled, languages)
+    rows = [(1, 0, "the dog"), (1, 1, "die Katze"), (None, 0, "el gato"), (None, 1, "123 ..."), (2, 0, None), (2, 1, "le chien Über 漢字"), (2, 2, ""), (3, 0, "the dog"), (3, 0, "the dog")]
+    sentences = spark.createDataFrame(rows, "doc_id long, pos int, sentence string")
+    found = text.detect_language(sentences, profiles, languages)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {(1, 0): "en", (1, 1): "de", (None, 0): "es", (None, 1): "non-en", (2, 0): "non-en", (2, 1): "fr", (2, 2): "non-en", (3, 0): "en"}
+    assert {(r.doc_id, r.pos): r.language for r in found.collect()} == wanted and found.count() == len(wanted)
+
+    def sums():
+        by = text.trigram_sums(sentences, profiles, languages).groupBy("doc_id", "pos").sum("grams", "seen", *[f"sum_{x}" for x in languages])
+        return {r[:2]: [round(v, 9) for v in r[2:]] for r in map(tuple, by.collect())}
+
+    whole = sums()
+    assert whole[(1, 0)][:2] == [6, 6] and whole[(2, 1)][:2] == [13, 8]
+    monkeypatch.setattr(text, "MOST_GRAMS", 5)
+    assert sums() == whole
