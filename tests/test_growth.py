@@ -35,6 +35,22 @@ def test_term_counts_take_more_tasks_for_more_text(spark, tmp_path, monkeypatch)
     assert counts == {(r.doc_id, r.term): r.tf for r in plain.collect()}
 
 
+def test_rows_by_term_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    rows = [(i % 13, f"w{i % 7}", i % 3 + 1) for i in range(91)]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    docs = spark.range(13).withColumnRenamed("id", "doc_id")
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in settings}
+    spark.conf.set(settings[0], "false")
+    try:
+        for made in (represent.bow(counts, docs, 1, 1.0), represent.tfidf(counts, docs, 1, 1.0)):
+            assert made.rdd.getNumPartitions() == 10 and made.count() == 91
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_languages_make_no_row_per_trigram(spark, monkeypatch):
     """Alike with all trigrams in the tasks, with few of them there, and by hand."""
     labelled = spark.createDataFrame(
