@@ -23,6 +23,8 @@ from docketry.session import materialise
 BLOCK_ROWS = 1024
 #: Pivots, and groups of consecutive blocks with bounds of their own, at most: what is broadcast has a fixed size.
 MOST_PIVOTS, MOST_ZONES = 512, 4096
+#: Numbers of a matrix of points by pivots or shells that a task holds at once.
+CELLS = 1 << 20
 #: Distances are compared to so many decimals.
 DECIMALS = 6
 SLACK = 2.0 * 10**-DECIMALS
@@ -35,6 +37,14 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+def slices(batches: Iterator[pa.RecordBatch], across: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so few rows that a number for each row and each of ``across`` others makes at most ``CELLS``."""
+    rows = max(1, CELLS // max(across, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All distances between two sets of rows; equal rows may come out a little above 0."""
     squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
@@ -80,7 +90,7 @@ def exact_groups(distinct: DataFrame, k: int, block_rows: int, most_pivots: int,
     centres = matrix(drawn["vector"])
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(centres)):
             x = matrix(batch.column("vector"))
             if len(x):
                 far = distances(x, centres)
@@ -120,7 +130,7 @@ def exact_groups(distinct: DataFrame, k: int, block_rows: int, most_pivots: int,
     )
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(cell)):
             x, mine, block, reach = matrix(batch.column("vector")), *(batch.column(c).to_numpy() for c in ("cell", "block", "reach"))
             if not len(x):
                 continue

@@ -1,7 +1,10 @@
 """A task's share must not grow with the input: partitions follow the rows, and results stay the same."""
 
+import numpy as np
+import pyarrow as pa
+
 from docketry import session
-from docketry.operators import represent, text
+from docketry.operators import neighbours, represent, text
 from docketry.plans import represent as plans
 
 
@@ -74,3 +77,19 @@ def test_languages_make_no_row_per_trigram(spark, monkeypatch):
     assert whole[(1, 0)][:2] == [6, 6] and whole[(2, 1)][:2] == [13, 8]
     monkeypatch.setattr(text, "MOST_GRAMS", 5)
     assert sums() == whole
+
+
+def test_points_meet_shells_in_bounded_slices(spark, monkeypatch):
+    """What a task holds of points by pivots or shells is bounded, however many rows a batch has."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, rng.integers(0, 50, 3).astype(float).tolist()) for i in range(400)], "k long, vector array<double>")
+
+    def found():
+        near = neighbours.nearest_neighbours(points, ["k"], k=3, block_rows=16, most_pivots=32, most_zones=64)
+        return sorted((r.k, r.nn, r.nn_k, r.distance) for r in near.collect())
+
+    whole = found()
+    monkeypatch.setattr(neighbours, "CELLS", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(45))], ["number"])
+    assert [b.num_rows for b in neighbours.slices(iter([batch]), 10)] == [10, 10, 10, 10, 5]
+    assert found() == whole and len(whole) == 1200
