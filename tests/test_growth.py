@@ -93,3 +93,36 @@ def test_points_meet_shells_in_bounded_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(45))], ["number"])
     assert [b.num_rows for b in neighbours.slices(iter([batch]), 10)] == [10, 10, 10, 10, 5]
     assert found() == whole and len(whole) == 1200
+
+
+def test_lsa_sends_terms_to_blocks_not_entries(spark, monkeypatch):
+    """The matrix stays where its blocks are; many small blocks give the vectors of a dense SVD."""
+    monkeypatch.setattr(represent, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(represent, "PART_ENTRIES", 7)
+    monkeypatch.setattr(represent, "GATHERED", 5)
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((30, 12)) < 0.6, rng.random((30, 12)), 0.0)
+    x[0, 0] = x[29, 11] = 1.0
+    rows = [(int(d), f"t{t}", float(x[d, t])) for d, t in zip(*x.nonzero())]
+    odd = [(3, None, 5.0), (4, "t1", None), (5, "t2", 0.25)]  # a null term, a null value, a repeated entry
+    x[5, 2] += 0.25
+    values = spark.createDataFrame(rows + odd, "doc_id int, term string, value double")
+
+    name = represent.packed_blocks(values)
+    try:
+        matrix = spark.table(name)
+        blocks = {r.block: r.documents for r in matrix.filter("documents IS NOT NULL").collect()}
+        assert len(blocks) > 3 and sorted(d for docs in blocks.values() for d in docs) == list(range(30))
+        met = matrix.groupBy("block").cogroup(spark.range(4).groupBy("id")).applyInArrow(lambda a, b: a.select(["block"]), "block int")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        scan = next(i for i, line in enumerate(plan.splitlines()) if "Scan parquet" in line)
+        assert "Exchange" not in "".join(plan.splitlines()[:scan])
+    finally:
+        represent.drop_blocks(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+    vectors, singular = represent.lsa(values, k=3, iterations=6, oversample=9)
+    left, sizes, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(singular, sizes[:3], rtol=1e-6)
+    found = np.array([r.vector for r in vectors.orderBy("doc_id").collect()])
+    assert np.allclose(np.abs(found), np.abs(left[:, :3] * sizes[:3]), atol=1e-5)
