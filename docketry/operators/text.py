@@ -19,7 +19,7 @@ from docketry.functions.text import (
     term_tokens,
     word_count,
 )
-from docketry.session import materialise, text_parts
+from docketry.session import materialise, row_parts, text_parts
 
 SUMMARY_WORDS = 180
 #: A word for abbreviation statistics, with the periods in and after it.
@@ -342,7 +342,10 @@ def stem_vocabulary(
 def stem_terms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term, tf) with terms replaced by their stems and counts of equal stems added up.
 
-    ``counts`` holds one row per document and term, so a frequent word is joined once per document.
+    ``counts`` holds one row per document and term, so a frequent word is joined once per document. It is read twice;
+    give a written table.
     """
-    stemmed = counts.join(vocabulary, "term").select("doc_id", F.col("stem").alias("term"), "tf")
+    n = row_parts(counts)
+    joined = counts.repartition(n, "term").join(vocabulary.repartition(n, "term"), "term")
+    stemmed = joined.select("doc_id", F.col("stem").alias("term"), "tf").repartition(n, "doc_id", "term")
     return stemmed.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))

@@ -54,6 +54,27 @@ def test_rows_by_term_are_dealt_by_their_number(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_stemmed_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    words = ["cat", "cats", "running", "runs", "run", None, "dogs"]
+    rows = [(None if i % 13 == 5 else i % 13, words[i % 7], i % 3 + 1) for i in range(91)]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    stems = {"cat": "cat", "cats": "cat", "running": "run", "runs": "run", "run": "run", "dogs": "dog"}
+    vocabulary = spark.createDataFrame(list(stems.items()), "term string, stem string")
+    wanted = {}
+    for doc, word, n in rows:
+        if word:
+            wanted[doc, stems[word]] = wanted.get((doc, stems[word]), 0) + n
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = text.stem_terms(counts, vocabulary)
+        assert made.rdd.getNumPartitions() == 10
+        assert {(r.doc_id, r.term): r.tf for r in made.collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_languages_make_no_row_per_trigram(spark, monkeypatch):
     """Alike with all trigrams in the tasks, with few of them there, and by hand."""
     labelled = spark.createDataFrame(
