@@ -16,11 +16,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import term_tokens
 from docketry.functions.vectors import as_doubles
+from docketry.operators.blocks import Block, doubles, numbered, packed_rows, whole_blocks, with_terms
 from docketry.operators.ranking import row_numbers
 from docketry.session import delete, free_shuffles, materialise, new_path, row_parts
 
@@ -63,26 +64,43 @@ def vocabulary(
 
 
 def bow(counts: DataFrame, docs: DataFrame, min_df: int = 5, max_df: float = 0.8, max_features: int | None = None) -> DataFrame:
-    """(doc_id, term, tf) over the pruned vocabulary. ``counts`` is read several times; give a written table."""
-    n = row_parts(counts)
-    terms = vocabulary(counts, docs, min_df, max_df, max_features).select("term").repartition(n, "term")
-    return counts.repartition(n, "term").join(terms, "term", "left_semi").select("doc_id", "term", "tf")
+    """(doc_id, term, tf) over the pruned vocabulary. ``counts`` is read several times; give a written table.
+
+    Rows stay where they are but for their blocks (``blocks``); terms alone are shuffled.
+    """
+    terms = vocabulary(counts, docs, min_df, max_df, max_features).select("term")
+
+    def keep(block: Block, found: pa.Table) -> pa.Table:
+        entry, _ = block.joined(found)
+        columns = [block.documents.take(pa.array(block.rows[entry])), block.terms.take(pa.array(block.columns[entry]))]
+        return pa.table([*columns, doubles(block.values[entry])], names=["doc_id", "term", "tf"])
+
+    kept = with_terms(packed_rows(counts, "tf"), terms, row_parts(counts), keep, f"{doc_term(counts)}, tf DOUBLE")
+    return kept.select("doc_id", "term", F.col("tf").cast(counts.schema["tf"].dataType))
 
 
 def tfidf(counts: DataFrame, docs: DataFrame, min_df: int = 5, max_df: float = 0.8, max_features: int | None = None) -> DataFrame:
     """(doc_id, term, value): tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1.
 
-    ``counts`` is read several times; give a written table.
+    ``counts`` is read several times; give a written table. As in ``bow``, no row is shuffled by term.
     """
-    n = row_parts(counts)
     size = docs.select(F.count("*").alias("n")).scalar()
     terms = vocabulary(counts, docs, min_df, max_df, max_features).select(
         "term", (F.log((size + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    joined = counts.repartition(n, "term").join(terms.repartition(n, "term"), "term")
-    weights = joined.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition(n, "doc_id")
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return weights.select("doc_id", "term", (F.col("w") / length).alias("value"))
+
+    def weigh(block: Block, found: pa.Table) -> pa.Table:
+        entry, place = block.joined(found)
+        rows, w = block.rows[entry], block.values[entry] * found["idf"].to_numpy()[place]
+        length = np.sqrt(np.bincount(rows, np.nan_to_num(w * w), len(block.documents)))
+        columns = [block.documents.take(pa.array(rows)), block.terms.take(pa.array(block.columns[entry]))]
+        return pa.table([*columns, doubles(w / length[rows])], names=["doc_id", "term", "value"])
+
+    return with_terms(whole_blocks(counts, "tf"), terms, row_parts(counts), weigh, f"{doc_term(counts)}, value DOUBLE")
+
+
+def doc_term(counts: DataFrame) -> str:
+    return f"doc_id {counts.schema['doc_id'].dataType.simpleString()}, term STRING"
 
 
 def term_maps(values: DataFrame, value: str = "value", name: str = "terms") -> DataFrame:
@@ -271,12 +289,6 @@ def packed_blocks(values: DataFrame, value: str = "value") -> str:
     return name
 
 
-def numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """A number for every row and the distinct values they stand for, null included."""
-    coded = column.combine_chunks().dictionary_encode("encode")
-    return coded.indices.to_numpy().astype(np.int32), coded.dictionary
-
-
 def drop_blocks(spark, name: str) -> None:
     """Forget a table of ``packed_blocks`` and delete its files."""
     path = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"]

@@ -19,6 +19,7 @@ from docketry.functions.text import (
     term_tokens,
     word_count,
 )
+from docketry.operators.blocks import Block, doubles, numbered, whole_blocks, with_terms
 from docketry.session import materialise, row_parts, text_parts
 
 SUMMARY_WORDS = 180
@@ -342,10 +343,21 @@ def stem_vocabulary(
 def stem_terms(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term, tf) with terms replaced by their stems and counts of equal stems added up.
 
-    ``counts`` holds one row per document and term, so a frequent word is joined once per document. It is read twice;
-    give a written table.
+    ``counts`` holds one row per document and term; give a written table. Its rows are not shuffled: blocks of whole documents
+    get the stems of their terms (``blocks``), and equal stems meet within a block.
     """
-    n = row_parts(counts)
-    joined = counts.repartition(n, "term").join(vocabulary.repartition(n, "term"), "term")
-    stemmed = joined.select("doc_id", F.col("stem").alias("term"), "tf").repartition(n, "doc_id", "term")
-    return stemmed.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("doc_id", "tf")}
+
+    def add(block: Block, found: pa.Table) -> pa.Table:
+        entry, place = block.joined(found)
+        number, stems = numbered(found["stem"])
+        keys, of_key = np.unique(block.rows[entry] * max(len(stems), 1) + number[place], return_inverse=True)
+        tf, known = block.values[entry], ~np.isnan(block.values[entry])
+        total, n = (np.bincount(of_key, x, len(keys)) for x in (np.where(known, tf, 0.0), known))
+        row, stem = np.divmod(keys, max(len(stems), 1))
+        columns = [block.documents.take(pa.array(row)), stems.take(pa.array(stem))]
+        return pa.table([*columns, doubles(np.where(n > 0, total, np.nan))], names=["doc_id", "term", "tf"])
+
+    terms = vocabulary.select("term", "stem")
+    stemmed = with_terms(whole_blocks(counts, "tf"), terms, row_parts(counts), add, f"doc_id {kinds['doc_id']}, term STRING, tf DOUBLE")
+    return stemmed.select("doc_id", "term", F.col("tf").cast("double" if kinds["tf"] in ("float", "double") else "bigint"))

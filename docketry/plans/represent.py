@@ -10,7 +10,7 @@ from docketry.plans import views
 from docketry.plans.registry import query
 from docketry.plans.text import STEMS, TERM_COUNTS
 from docketry.plans.views import EMB_PAIRS, PAIR_TABLE
-from docketry.session import dealt_texts, materialise, new_path
+from docketry.session import dealt_texts, free_shuffles, materialise, new_path, settled
 from docketry.sources.tables import load_representation, save_representation
 
 MIN_DF, MAX_DF = 5, 0.8
@@ -31,16 +31,18 @@ STOP_WORDS = ("the", "of", "de", "der", "la")
 def stemmed_counts(spark, sf_dir):
     """Term counts of all documents over Porter stems, written once."""
     plain = counts(spark, sf_dir)
-    return materialise(text.stem_terms(plain, text.stem_vocabulary(plain)))
+    return settled(text.stem_terms(plain, text.stem_vocabulary(plain)), name="stemmed")
 
 
 def counts(spark, sf_dir):
     """Term counts of all documents, written once and read by several steps."""
-    return materialise(represent.term_counts(dealt_texts(views.documents(spark, sf_dir))))
+    written = materialise(represent.term_counts(dealt_texts(views.texts(spark, sf_dir))))
+    free_shuffles(spark)  # of the texts
+    return written
 
 
 def tfidf_values(spark, sf_dir):
-    docs = views.documents(spark, sf_dir)
+    docs = views.texts(spark, sf_dir)
     return represent.tfidf(counts(spark, sf_dir), docs, MIN_DF, MAX_DF)
 
 
@@ -62,13 +64,13 @@ def raw(spark, sf_dir):
 
 @query("vocabulary", f"WITH {WEIGHTS} SELECT term, df, total FROM vocabulary ORDER BY total DESC, term LIMIT 1000")
 def vocabulary(spark, sf_dir):
-    docs = views.documents(spark, sf_dir)
+    docs = views.texts(spark, sf_dir)
     return represent.vocabulary(counts(spark, sf_dir), docs, MIN_DF, MAX_DF, max_features=1000)
 
 
 @query("bow", f"WITH {WEIGHTS} SELECT doc_id, term, tf FROM bow")
 def bow(spark, sf_dir):
-    return represent.bow(counts(spark, sf_dir), views.documents(spark, sf_dir), MIN_DF, MAX_DF)
+    return represent.bow(counts(spark, sf_dir), views.texts(spark, sf_dir), MIN_DF, MAX_DF)
 
 
 @query("tfidf", f"WITH {WEIGHTS} SELECT doc_id, term, value FROM tfidf", ("value",))
@@ -78,12 +80,12 @@ def tfidf(spark, sf_dir):
 
 @query("bow_stemmed", f"WITH {STEM_WEIGHTS} SELECT doc_id, term, tf FROM bow")
 def bow_stemmed(spark, sf_dir):
-    return represent.bow(stemmed_counts(spark, sf_dir), views.documents(spark, sf_dir), MIN_DF, MAX_DF)
+    return represent.bow(stemmed_counts(spark, sf_dir), views.texts(spark, sf_dir), MIN_DF, MAX_DF)
 
 
 @query("tfidf_stemmed", f"WITH {STEM_WEIGHTS} SELECT doc_id, term, value FROM tfidf", ("value",))
 def tfidf_stemmed(spark, sf_dir):
-    return represent.tfidf(stemmed_counts(spark, sf_dir), views.documents(spark, sf_dir), MIN_DF, MAX_DF)
+    return represent.tfidf(stemmed_counts(spark, sf_dir), views.texts(spark, sf_dir), MIN_DF, MAX_DF)
 
 
 @query(
@@ -97,7 +99,7 @@ def tfidf_stemmed(spark, sf_dir):
 )
 def bow_bigrams(spark, sf_dir):
     """Pairs of neighbouring words, without a few stop words."""
-    docs = views.documents(spark, sf_dir)
+    docs = views.texts(spark, sf_dir)
     pairs = materialise(represent.term_counts(dealt_texts(docs), lambda column: ngrams(term_tokens(column), 2, 2, STOP_WORDS)))
     return represent.bow(pairs, docs, MIN_DF, MAX_DF)
 

@@ -55,9 +55,14 @@ emb_run AS (SELECT case_id, candidate_id, rel, round(list_dot_product(case_vec,
             + 0e0 AS score FROM emb_joined)"""
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """(doc_id, text) as they are read, for what deals them out itself."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def documents(spark, sf_dir) -> DataFrame:
     """(doc_id, text)"""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return texts(spark, sf_dir).repartition("doc_id")
 
 
 def text_pairs(spark, sf_dir) -> DataFrame:
