@@ -6,7 +6,7 @@ import os
 import pytest
 
 from docketry import session
-from docketry.operators import blocks, represent, text
+from docketry.operators import blocks, represent, score, text
 
 
 def _counts(spark, tmp_path, apart):
@@ -77,3 +77,29 @@ def test_settled_tables_delete_what_only_they_read(spark):
     both = session.settled(first.union(second), second)
     assert both.count() == 12 and second.count() == 7
     assert not os.path.exists(path[1]) and os.path.exists(path[2])
+
+
+def test_cosines_and_bm25_keep_few_tables_and_move_no_row_by_term(spark, tmp_path, monkeypatch):
+    """In slices as in one; rows of documents apart or together; afterwards only the scores are left."""
+    monkeypatch.setattr(score, "SLICE_ROWS", 20)
+    for apart in (False, True):
+        rows, counts = _counts(spark, f"{tmp_path}/{apart}", apart)
+        counts = counts.filter("term IS NOT NULL")
+        pairs = spark.createDataFrame([(d // 10 * 10, d, d % 2) for d in range(42)] + [(None, 3, 0), (0, None, 1)], "case_id long, candidate_id long, rel int")
+        vectors = {}
+        for d, t, tf in rows:
+            if t:
+                vectors.setdefault(d, {})[t] = tf
+        before = set(os.listdir(session.shared_folder(spark)))
+        found = score.sparse_cosine_rank(pairs, counts, "tf")
+        left = set(os.listdir(session.shared_folder(spark))) - before
+        assert found.count() == 44 and all(name.startswith("scores") for name in left)
+        for r in found.collect():
+            a, b = vectors.get(r.case_id, {}), vectors.get(r.candidate_id, {})
+            if r.case_id is None or r.candidate_id is None:
+                a = {}
+            dot = sum(x * b.get(t, 0) for t, x in a.items())
+            size = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            assert r.score == pytest.approx(dot / size if size else 0.0)
+        plan = score.bm25_rank(pairs, counts)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(case_id" in plan and "term#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
